@@ -39,7 +39,7 @@ def radix_groups(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For each text the index of the first text that equals it.
 
     Each pass takes the next eight bytes of all open texts as one word, sorts
-    by (group, word, bytes taken), and closes groups that are single or ended.
+    by (group, word, whether the text ends in it), and closes groups that are single or ended.
     While all open texts agree with the first of their group, passes widen.
     """
     start, length = offsets[:-1], np.diff(offsets)
@@ -57,7 +57,7 @@ def radix_groups(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
                 at, width = at + width, width * 2
                 continue
             width = 8
-        take = np.clip(left, 0, 8)
+        take = np.clip(left, 0, 9)  # 8 ends with this word, 9 goes on
         cells = data[np.minimum((start[open_] + at)[:, None] + np.arange(8), len(data) - 1)]
         cells[np.arange(8) >= take[:, None]] = 0
         word = cells.view(">u8")[:, 0].astype(np.uint64)

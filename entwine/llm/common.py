@@ -38,9 +38,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def put(self, name: str, df: DataFrame) -> DataFrame:
+    def put(self, name: str, df: DataFrame, compression: str = "snappy") -> DataFrame:
         """Write ``df`` and return the written table (lineage ends there)."""
-        df.write.parquet(self.path(name))
+        df.write.option("compression", compression).parquet(self.path(name))
         return self.get(name, df)
 
     def get(self, name: str, like: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ from entwine.llm.common import Scratch, byte_view, mix64
 
 LENGTH, ANCHOR = 400, 32
 #: Items of a gram that go to one task; bytes of one suffix order.
-GROUP, ORDER_BYTES = 256, 3 << 20
+GROUP, ORDER_BYTES = 2048, 3 << 20
 #: Buckets of the filter that keeps texts without a part in it out of a shuffle.
 BUCKETS = 1 << 20
 _PIECE_BITS = 21

@@ -30,18 +30,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from entwine.llm.common import mix64
+
 WINDOW, STRIDE = 32, 16
 WORD_ROWS, CHAR_ROWS, DIM, HIDDEN = 1 << 14, 1 << 13, 8, 12
 #: Windows of one forward step, and bound of a worker's word memo.
 BATCH, MEMO = 2048, 200_000
 _WORDS = re.compile(r"\w+")
-
-
-def word_rows(word: str) -> tuple[int, list[int]]:
-    """(word row, character n-gram rows) of a lower-cased word, over its whole length."""
-    raw = f"^{word}$"
-    grams = [raw[i : i + n] for n in (3, 4) for i in range(max(1, len(raw) - n + 1))]
-    return zlib.crc32(word.encode()) % WORD_ROWS, [zlib.crc32(g.encode()) % CHAR_ROWS for g in grams]
+_MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def gram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word row of each word, rows of all its three- and four-byte grams, word of each gram in order)."""
+    raw = [w.encode() for w in words]
+    at = np.fromiter((zlib.crc32(r) for r in raw), np.int64, len(raw)) % WORD_ROWS
+    size = np.fromiter(map(len, raw), np.int64, len(raw)) + 3  # a mark before and two after
+    x = np.frombuffer(b"".join(b"^%b$$" % r for r in raw), np.uint8).astype(np.uint64)
+    owner = np.repeat(np.arange(len(raw)), size)
+    rows, owners = [], []
+    for n in (3, 4):
+        h = sum(x[i : len(x) - n + 1 + i] * _MULT[i] for i in range(n)) + np.uint64(n)
+        inside = owner[: len(h)] == owner[n - 1 :] if len(h) else np.zeros(0, bool)
+        rows.append((mix64(h[inside]) % np.uint64(CHAR_ROWS)).astype(np.int64))
+        owners.append(owner[: len(h)][inside])
+    owners_ = np.concatenate(owners)
+    order = np.argsort(owners_, kind="stable")
+    return at, np.concatenate(rows)[order], owners_[order]
 
 
 def words_of(text: str) -> list[str]:
@@ -62,13 +76,10 @@ class Network:
 
     def inputs(self, words: list[str]) -> tuple[np.ndarray, tuple]:
         """Input vectors of distinct words, and the rows they came from."""
-        rows = [word_rows(x) for x in words]
-        size = np.array([len(g) for _, g in rows], np.int64)
-        flat = np.fromiter((i for _, g in rows for i in g), np.int64, size.sum())
-        at = np.array([r for r, _ in rows], np.int64)
-        owner = np.repeat(np.arange(len(rows)), size)
+        at, flat, owner = gram_rows(words)
+        size = np.bincount(owner, minlength=len(words))
         first = np.cumsum(size) - size
-        chars = np.add.reduceat(self.w["char"][flat], first, axis=0) / size[:, None] if len(rows) else np.zeros((0, DIM))
+        chars = np.add.reduceat(self.w["char"][flat], first, axis=0) / size[:, None] if len(words) else np.zeros((0, DIM))
         return np.concatenate([self.w["word"][at], chars], axis=1).astype(np.float32), (at, flat, owner, size)
 
     def project(self, x: np.ndarray, side: str) -> np.ndarray:
@@ -156,7 +167,7 @@ def window_index(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(at < lengths[doc], at + base[doc], -1), doc
 
 
-def train(texts: list[str], labels: list[int], updates: int = 500, batch: int = 24, rate: float = 0.02, seed: int = 11) -> Network | None:
+def train(texts: list[str], labels: list[int], updates: int = 400, batch: int = 24, rate: float = 0.02, dropout: float = 0.3, seed: int = 11) -> Network | None:
     """Adam over shuffled batches of texts; None without both labels."""
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
@@ -177,7 +188,8 @@ def train(texts: list[str], labels: list[int], updates: int = 500, batch: int =
         number = {w: i for i, w in enumerate(vocab)}
         ids = np.array([number[w] for w in joined] + [-1], np.int64)
         idx, doc = window_index(np.array([len(docs[i]) for i in take]))
-        _, grad = net.gradients(vocab, np.where(idx >= 0, ids[idx], -1), doc, y[take], weights[take])
+        shown = (idx >= 0) & (r.random(idx.shape) >= dropout)  # words left out in training, so no single one is relied on
+        _, grad = net.gradients(vocab, np.where(shown, ids[idx], -1), doc, y[take], weights[take])
         lr = rate * min(1.0, step / 20) * (1 - 0.9 * step / updates)
         for k, g in grad.items():
             norm = float(np.sqrt((g * g).sum()))
@@ -197,26 +209,27 @@ class Scorer:
 
     def _reset(self) -> None:
         self.number: dict[str, int] = {}
-        self.f = self.b = np.zeros((0, 3 * HIDDEN), np.float32)
+        self.f = self.b = np.zeros((1 << 14, 3 * HIDDEN), np.float32)
 
     def _learn(self, words: set[str]) -> None:
         if len(self.number) > MEMO:
             self._reset()
-        new = [w for w in words if w not in self.number]
+        new = list(words.difference(self.number))
         for s in range(0, len(new), 20_000):
             part = new[s : s + 20_000]
             x, _ = self.net.inputs(part)
-            self.number.update({w: len(self.number) + i for i, w in enumerate(part)})
-            self.f = np.concatenate([self.f, self.net.project(x, "f")])
-            self.b = np.concatenate([self.b, self.net.project(x, "b")])
+            have, need = len(self.number), len(self.number) + len(part)
+            if need > len(self.f):
+                more = np.zeros((max(need, 2 * len(self.f)) - len(self.f), 3 * HIDDEN), np.float32)
+                self.f, self.b = np.concatenate([self.f, more]), np.concatenate([self.b, more])
+            self.f[have:need], self.b[have:need] = self.net.project(x, "f"), self.net.project(x, "b")
+            self.number.update(zip(part, range(have, need), strict=True))
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.net is None:
             return np.zeros(len(texts))
         docs = [words_of(t) for t in texts]
         self._learn({w for d in docs for w in d})
-        if not len(self.f):
-            self._learn({""})
         get = self.number.__getitem__
         lengths = np.array([len(d) for d in docs])
         ids = np.fromiter((i for d in docs for i in map(get, d)), np.int64, lengths.sum())

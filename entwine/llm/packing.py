@@ -14,18 +14,23 @@ An empty table gives no piece.  Only the id and text columns are read.
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entwine.llm.common import Scratch
 
-#: Bound of the per-worker memory of chunk encodings (entries).
-MEMO = 400_000
+#: Bound of a worker's memo (entries).
+MEMO = 700_000
+#: ASCII punctuation that may follow a word; the apostrophe has rules of its own.
+_TAIL = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 
 class OpenWindows:
@@ -50,37 +55,110 @@ class OpenWindows:
         return window, filled, gone
 
 
-def word_encoder(spec: str):
-    """text to little-endian ids, through a bounded memo of chunks between blanks.
+class WordEncoder:
+    """texts to little-endian ids, by their distinct words, which are looked up in a bounded memo.
 
     The tokenizer's own pattern never crosses white space and drops it, so a
-    text's ids are the ids of its chunks in order.
+    text's ids are the ids of its chunks between blanks.  It also ends a token
+    between a letter or digit and ASCII punctuation, and lower-cases, so a chunk's
+    ids are those of its lower-cased word and of its tail.  Arrow splits a batch of
+    texts and numbers its distinct chunks and words; only new words reach the
+    tokenizer.  Words of letters alone are one pre-token each and are encoded many
+    at a time: the id that ends a word says so.
     """
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_str(spec)
-    tok.no_truncation()
-    tok.encode_special_tokens = True
-    memo: dict[str, bytes] = {"": b""}
-
-    def encode(text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(memo.__getitem__, chunks))
-        except KeyError:
-            pass
-        if len(memo) > MEMO:
-            memo.clear()
-            memo[""] = b""
-        new = list(dict.fromkeys(c for c in chunks if c not in memo))
-        local = memo
-        if len(new) > MEMO:
-            local = dict(memo)
-        for c, e in zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True):
-            local[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(local.__getitem__, chunks))
-
-    return encode
+
+    def __init__(self, spec: str):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tok = Tokenizer.from_str(spec)
+        self.tok.no_truncation()
+        self.tok.encode_special_tokens = True
+        vocab = self.tok.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+
+    def _each(self, words: list[str]) -> None:
+        for s in range(0, len(words), 10_000):
+            part = words[s : s + 10_000]
+            self.words.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True))
+
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if w.isalpha() and len(w) < 1000]
+        if len(plain) < len(words):
+            self._each(list(set(words).difference(plain)))
+        groups = [plain[s : s + 200] for s in range(0, len(plain), 200)]
+        for g, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cut) != len(g) or cut[-1] != 4 * len(ids):
+                self._each(g)
+                continue
+            raw = ids.tobytes()
+            self.words.update((w, raw[a:z]) for w, a, z in zip(g, [0, *cut], cut, strict=False))
+
+    def _blobs(self, words: list[str]) -> list[bytes]:
+        unknown = [w for w in words if w not in self.words]
+        if len(self.words) + len(unknown) > MEMO:
+            self.words.clear()
+            unknown = words
+        self._learn(unknown)
+        return [self.words[w] for w in words]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        texts = pc.replace_substring(texts.fill_null("").cast(pa.large_string()), "\n", " ")
+        lists = pc.split_pattern(texts, " ")
+        chunks = lists.flatten().dictionary_encode()
+        each, numbers = chunks.dictionary, chunks.indices.to_numpy()
+        # a chunk that ends in a letter or digit and a tail is its word and its tail
+        bare = pc.utf8_rtrim(each, characters=_TAIL)
+        cut = pc.utf8_is_alnum(pc.utf8_slice_codeunits(bare, start=-1, stop=None))
+        latin = pc.and_(cut, pc.match_substring_regex(bare, r"^[\x{00}-\x{FF}]*$"))
+        word = pc.if_else(latin, pc.utf8_lower(bare), pc.if_else(cut, bare, each)).dictionary_encode()
+        size = np.where(cut.to_numpy(zero_copy_only=False), pc.subtract(pc.binary_length(each), pc.binary_length(bare)).to_numpy(), 0)
+        tailed = np.flatnonzero(size)
+        tails: dict[str, int] = {"": 0}
+        tail = np.zeros(len(each), np.int64)
+        tail[tailed] = [tails.setdefault(c[-k:], len(tails)) for c, k in zip(each.take(pa.array(tailed)).to_pylist(), size[tailed].tolist(), strict=True)]
+        words = word.dictionary.to_pylist()
+        blobs = [*self._blobs(words), *self._blobs(list(tails))]
+        # ids of words and tails, then of chunks, then of texts
+        ids, at = _gather(np.frombuffer(b"".join(blobs), "<u4"), np.cumsum([0, *(len(b) // 4 for b in blobs)]), np.stack([word.indices.to_numpy(), tail + len(words)], axis=1).ravel())
+        ids, at = _gather(ids, at[::2], numbers)
+        ends = (4 * at[lists.offsets.to_numpy()]).tolist()
+        raw = ids.tobytes()
+        return [raw[a:z] for a, z in zip(ends, ends[1:], strict=False)]
+
+
+def _gather(flat: np.ndarray, at: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs ``flat[at[i]:at[i + 1]]`` for all i of ``take`` joined, and where each begins."""
+    size = np.diff(at)[take]
+    begin = np.zeros(len(take) + 1, np.int64)
+    np.cumsum(size, out=begin[1:])
+    return flat[np.repeat(at[take] - begin[:-1], size) + np.arange(begin[-1])], begin
+
+
+#: The encoder of this worker process, by its specification.
+_encoders: dict[str, WordEncoder] = {}
+
+
+def word_encoder(spec: str) -> Callable[[pa.Array], list[bytes]]:
+    if spec not in _encoders:
+        _encoders.clear()
+        _encoders[spec] = WordEncoder(spec)
+    return _encoders[spec].encode
+
+
+def _in_steps(texts: pa.Array, rows: int = 2048, size: int = 8 << 20) -> Iterator[pa.Array]:
+    """Slices of at most ``rows`` texts and about ``size`` bytes."""
+    ends = np.cumsum(pc.coalesce(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
+        yield texts.slice(at, stop - at)
+        at = stop
 
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, open boolean"
@@ -109,8 +187,9 @@ def _pack_partition(encoder: Callable, end_id: int, size: int, limit: int):
             return out
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
+            encoded = (ids for step in _in_steps(b.column(1)) for ids in encode(step))
+            for doc, ids in zip(b.column(0).to_pylist(), encoded, strict=True):
+                ids += end
                 n = len(ids) // 4
                 for start in range(0, n, size):
                     length = min(size, n - start)
@@ -164,10 +243,10 @@ def pack_tokens(documents: DataFrame, encoder: Callable, end_id: int, size: int
     pieces = scratch.put("pieces", rows.mapInArrow(_pack_partition(encoder, end_id, size, open_windows), _PIECES))
     left = pieces.where("open").groupBy("window").agg(F.sum("length").alias("filled"))
     left = scratch.put("left-0", left)
-    moves, n, step = None, left.count(), 0
-    while n:
-        # one task takes at most merge_rows windows; the tree ends when a level has one task
-        tasks = -(-n // merge_rows)
+    n = left.count()
+    moves, tasks, step = None, -(-n // merge_rows), 0
+    while tasks:
+        # a task of the first level takes about merge_rows windows; every level has a quarter of the tasks
         dealt = left.repartition(tasks, "window") if tasks > 1 else left.coalesce(1)
         step += 1
         done = scratch.put(f"moves-{step}", dealt.select("window", "filled").mapInArrow(_merge_partition(size, open_windows, tasks == 1), _MOVES))
@@ -177,11 +256,12 @@ def pack_tokens(documents: DataFrame, encoder: Callable, end_id: int, size: int
         else:
             up = now.select(F.col("window").alias("target"), F.col("target").alias("target2"), F.col("base").alias("base2"))
             moves = moves.join(up, "target", "left").select("window", F.coalesce("target2", "target").alias("target"), (F.col("base") + F.coalesce("base2", F.lit(0))).alias("base"))
+            moves = scratch.put(f"moved-{step}", moves)
         if tasks == 1:
             break
+        tasks = max(1, tasks // 4)
         left = done.where("open").groupBy(F.col("target").alias("window")).agg(F.sum("filled").alias("filled"))
         left = scratch.put(f"left-{step}", left)
-        n = left.count()
     out = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
     closed = pieces.where(~F.col("open")).select(*out, F.col("window").alias("sequence_id"), "offset")
     if moves is None:

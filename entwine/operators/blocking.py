@@ -179,6 +179,21 @@ def dense_topk(queries: DataFrame, pool: DataFrame, k: int, block: str = "block"
     return sims.withColumn("dense_rank", rank).where(F.col("dense_rank") <= k)
 
 
+def hard_name_channel(records: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+    """(s, c, hard_emb_sim, hard_emb_rank): for records hard to match by text, the entities of nearest names in their country.
+
+    Hard are other records with a name in native script or without an address; the
+    search runs from them to the entities.  Records have id, is_query, country, name,
+    address; vectors have id and v, the name's unit vector.
+    """
+    from entwine.functions.text import native_script_col
+
+    r = records.join(vectors, "id").withColumn("block", F.col("country"))
+    hard = r.where(~F.col("is_query") & (native_script_col(F.col("name")) | (F.col("address") == "")))
+    top = dense_topk(hard.select("id", "v", "block"), r.where("is_query").select("id", "v", "block"), k)
+    return top.select(F.col("c").alias("s"), F.col("s").alias("c"), F.col("dense_sim").alias("hard_emb_sim"), F.col("dense_rank").alias("hard_emb_rank"))
+
+
 def dense_topk_lsh(queries: DataFrame, pool: DataFrame, k: int, tables: int = 8, bucket: float = 0.5, radius: float = 1.3, seed: int = 42) -> DataFrame:
     """Approximate ``dense_topk`` by bucketed random projections of unit vectors."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

@@ -269,6 +269,12 @@ def test_dense(spark):
     assert near <= set(range(20)) and len(near & {2, 4}) >= 1
 
 
+def test_hard_names(spark):
+    rec = spark.createDataFrame([("e1", True, "US", "acme", "1 x"), ("e2", True, "US", "zinc", "2 x"), ("h", False, "US", "acm", ""), ("n", False, "US", "गुजरात", "3 x"), ("q", False, "US", "acme", "4 x"), ("f", False, "FR", "acme", "")], "id string, is_query boolean, country string, name string, address string")
+    v = spark.createDataFrame([("e1", [1.0, 0.0]), ("e2", [0.0, 1.0]), ("h", [0.8, 0.6]), ("n", [0.0, 1.0]), ("q", [1.0, 0.0]), ("f", [1.0, 0.0])], "id string, v array<double>")
+    assert got(blocking.hard_name_channel(rec, v, 1).select("s", "c", "hard_emb_rank")) == [("e1", "h", 1), ("e2", "n", 1)]
+
+
 # sampling
 
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from entwine.llm.common import task
+
 NO_PAIR = np.iinfo(np.int32).max
 #: Pre-tokens above this many bytes are merged row by row.
 LONG = 512
@@ -226,7 +228,7 @@ def encode_texts(documents: DataFrame, rank_path: str, pattern: str, id_col: str
                     names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
                 )
 
-    return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _SCHEMA)
+    return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(task(run), _SCHEMA)
 
 
 def decode_ids(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
@@ -238,4 +240,4 @@ def decode_ids(encoded: DataFrame, rank_path: str, pattern: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([codec.decode(x or b"") for x in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return encoded.select("doc_id", "ids").mapInArrow(task(run), "doc_id long, bytes binary")

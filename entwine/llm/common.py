@@ -8,14 +8,34 @@ tests) gets a temporary folder.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own_root: list[str] = []
+#: Rows of an Arrow batch while a scratch table is written; bounds what a task holds at once.
+BATCH_ROWS = 2000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over the batches of a partition; what it held goes back to the system, as Python workers are used again."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return wrapped
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -40,7 +60,12 @@ class Scratch:
 
     def put(self, name: str, df: DataFrame, compression: str = "snappy") -> DataFrame:
         """Write ``df`` and return the written table (lineage ends there)."""
-        df.write.option("compression", compression).parquet(self.path(name))
+        rows = self.spark.conf.get(_BATCH_KEY)
+        self.spark.conf.set(_BATCH_KEY, str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
+        try:
+            df.write.option("compression", compression).parquet(self.path(name))
+        finally:
+            self.spark.conf.set(_BATCH_KEY, rows)
         return self.get(name, df)
 
     def get(self, name: str, like: DataFrame) -> DataFrame:

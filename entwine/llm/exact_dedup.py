@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entwine.llm.common import Scratch, byte_view, lower_ascii, partitions_for
+from entwine.llm.common import Scratch, byte_view, lower_ascii, partitions_for, task
 
 #: Cells of a comparison window; bounds the memory of one radix pass.
 WINDOW_CELLS = 1 << 22
@@ -161,7 +161,7 @@ def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = documents.sparkSession
     scratch = Scratch(spark, "exact-dedup")
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    local = scratch.put("local", rows.mapInArrow(_collapse_batches, _LOCAL))
+    local = scratch.put("local", rows.mapInArrow(task(_collapse_batches), _LOCAL))
     reps = local.where(F.col("text").isNotNull()).select("uid", "doc_id", "copies", "text", "sha")
     total = reps.agg(F.sum(F.length("text") + 64)).first()[0] or 0
     parts = partitions_for(spark, total, task_bytes)
@@ -176,13 +176,13 @@ def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     keyed = reps.withColumn("radix", key)
     slim = ("uid", "doc_id", "copies", "text", "sha")
     if not hot_at_last:
-        groups = keyed.repartition(parts, "radix").select(*slim).mapInArrow(_split_bucket, _GROUP)
+        groups = keyed.repartition(parts, "radix").select(*slim).mapInArrow(task(_split_bucket), _GROUP)
     else:
         salted = keyed.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("uid"), F.lit(salts))).otherwise(F.lit(0)))
-        first = scratch.put("first", salted.repartition(parts, "radix", "salt").select(*slim).mapInArrow(_split_bucket, _GROUP))
+        first = scratch.put("first", salted.repartition(parts, "radix", "salt").select(*slim).mapInArrow(task(_split_bucket), _GROUP))
         alive = first.where(F.col("uid") == F.col("keep_uid")).select("uid", F.col("group_size").alias("total"))
         again = keyed.where(hot).join(alive, "uid").withColumn("copies", F.col("total"))
-        second = again.repartition(parts, "radix").select(*slim).mapInArrow(_split_bucket, _GROUP)
+        second = again.repartition(parts, "radix").select(*slim).mapInArrow(task(_split_bucket), _GROUP)
         second = second.select(F.col("uid").alias("mid"), *[F.col(c).alias(f"{c}2") for c in ("keep_uid", "keep_id", "group_size")])
         met = first.join(second, first.keep_uid == second.mid, "left")
         last_of = lambda c: F.when(F.col("mid").isNull(), F.col(c)).otherwise(F.col(f"{c}2")).alias(c)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entwine.llm.common import Scratch
+from entwine.llm.common import Scratch, task
 
 FRAME = 192  # samples of a packet; one millisecond at RATE
 RATE = 192_000.0
@@ -322,7 +322,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def store_media(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_bytes`` and the ``media`` column of every text."""
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_store, "doc_id long, n_bytes long, media binary")
+    return rows.mapInArrow(task(_store), "doc_id long, n_bytes long, media binary")
 
 
 def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -337,11 +337,11 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "track", "timestamp_ns", "key", "lacing", "cluster_offset", "offset", "size"])
 
     rows = media.where(F.col(media_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media"))
-    return rows.mapInArrow(run, "doc_id long, track long, timestamp_ns long, key boolean, lacing int, cluster_offset long, offset long, size long")
+    return rows.mapInArrow(task(run), "doc_id long, track long, timestamp_ns long, key boolean, lacing int, cluster_offset long, offset long, size long")
 
 
 def media_features(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store every text as media in the scratch folder, read it back and describe it."""
     scratch = Scratch(documents.sparkSession, "matroska")
     stored = scratch.put("media", store_media(documents, id_col, text_col), compression="zstd")
-    return stored.mapInArrow(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.mapInArrow(task(_features), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entwine.llm.common import Scratch, byte_view, lower_ascii, mix64
+from entwine.llm.common import Scratch, byte_view, lower_ascii, mix64, task
 from entwine.llm.components import connected_components
 
 WORDS, PERCENT = 5, 75
@@ -398,7 +398,7 @@ def _verified_links(families: DataFrame, sets: DataFrame, scratch: Scratch, perc
     if large.isEmpty():
         one = sets.select("family", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("part"), F.col("node").alias("seen"), "node", "shingles")
         dealt = one.repartition(parts, "family").sortWithinPartitions("family", "node")
-        return scratch.put("links", dealt.mapInArrow(_verify(percent), _EDGES))
+        return scratch.put("links", dealt.mapInArrow(task(_verify(percent)), _EDGES))
     sized = scratch.put("sized", sets.join(large, "family", "left"))
     n = F.ceil(F.col("size") / F.lit(BLOCK))
     own = F.coalesce(F.pmod(F.xxhash64("node"), n), F.lit(0)).cast("int")
@@ -410,7 +410,7 @@ def _verified_links(families: DataFrame, sets: DataFrame, scratch: Scratch, perc
     shared = sized.drop("size").join(pivots, ["family", "node"]).select("family", every, "node", "shingles")
     shared = shared.select("family", "bi", F.col("bi").alias("bj"), F.lit(1).alias("part"), F.col("node").alias("seen"), "node", "shingles")
     dealt = diagonal.unionByName(shared).repartition(parts, "family", "bi").sortWithinPartitions("family", "bi", "bj", "node")
-    first = scratch.put("links-1", dealt.select(*order).mapInArrow(_verify(percent), _EDGES))
+    first = scratch.put("links-1", dealt.select(*order).mapInArrow(task(_verify(percent)), _EDGES))
     # what the blocks and pivots left apart, against everything of its family
     known = connected_components(first, scratch, "known")
     inside = sized.where("size is not null").join(known, "node", "left").select("family", "size", "node", "shingles", F.coalesce("label", "node").alias("seen"))
@@ -424,7 +424,7 @@ def _verified_links(families: DataFrame, sets: DataFrame, scratch: Scratch, perc
     rest = rest.join(rest_size, "family").select("family", F.pmod(F.xxhash64("node"), rest_blocks).cast("int").alias("bi"), F.explode(F.sequence(F.lit(0), all_blocks - 1)).alias("bj"), F.lit(1).alias("part"), "seen", "node", "shingles")
     every = inside.join(rest_size, "family").select("family", F.explode(F.sequence(F.lit(0), rest_blocks - 1)).alias("bi"), F.pmod(F.xxhash64("node"), all_blocks).cast("int").alias("bj"), F.lit(2).alias("part"), "seen", "node", "shingles")
     dealt = rest.unionByName(every).repartition(parts, "family", "bi", "bj").sortWithinPartitions("family", "bi", "bj", "node")
-    second = scratch.put("links-2", dealt.select(*order).mapInArrow(_verify(percent), _EDGES))
+    second = scratch.put("links-2", dealt.select(*order).mapInArrow(task(_verify(percent)), _EDGES))
     return first.unionByName(second)
 
 
@@ -434,28 +434,28 @@ def near_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     scratch = Scratch(spark, "near-dedup")
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    docs = scratch.put("sketches", rows.mapInArrow(_sketches(words), _SKETCH))
+    docs = scratch.put("sketches", rows.mapInArrow(task(_sketches(words)), _SKETCH))
     named = docs.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     nodes = scratch.put("nodes", named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")))
     total = nodes.count()
     limit = max(limit, -(-K * total // HOT_MEMORY))
-    counts = nodes.select("sketch").mapInArrow(_values, "value long").groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    counts = nodes.select("sketch").mapInArrow(task(_values), "value long").groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") > limit)
     hot = np.sort(np.array([r.value for r in counts.select("value").collect()], np.int64))  # at most HOT_MEMORY values, by the limit
     shared = spark.sparkContext.broadcast(hot)
-    listed = scratch.put("postings", nodes.select("node", "sketch").mapInArrow(_postings(shared), "value long, kind int, node long"))
+    listed = scratch.put("postings", nodes.select("node", "sketch").mapInArrow(task(_postings(shared)), "value long, kind int, node long"))
     lists = listed.groupBy("value", "kind").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("size > 1")
     lists = lists.groupBy("size", "x", "y").agg(F.min(F.struct("value", "kind")).alias("v")).select("v.value", "v.kind", "size")
     lists = scratch.put("lists", lists)
     members = listed.join(lists, ["value", "kind"])
-    with_sketch = members.join(nodes.select("node", "sketch").mapInArrow(_narrow, "node long, sketch binary"), "node")
+    with_sketch = members.join(nodes.select("node", "sketch").mapInArrow(task(_narrow), "node long, sketch binary"), "node")
     dealt = _blocks(with_sketch, "node", "size").select("value", "kind", "bi", "bj", "node", "sketch")
     dealt = dealt.repartition(parts, "value", "kind", "bi", "bj").sortWithinPartitions("value", "kind", "bi", "bj", "node")
-    near = scratch.put("near", dealt.mapInArrow(_connect_lists, _EDGES))
+    near = scratch.put("near", dealt.mapInArrow(task(_connect_lists), _EDGES))
     families = scratch.put("families", connected_components(near, scratch, "near"))
     scratch.drop("postings", "lists")
     wanted = nodes.select("node", "digest").join(families, "node").select("node", F.col("label").alias("family"), "digest")
     texts = rows.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("doc_id").alias("node"), "family", "text", "digest")
-    sets = scratch.put("sets", texts.mapInArrow(_full_sets(words), "node long, family long, shingles binary"))
+    sets = scratch.put("sets", texts.mapInArrow(task(_full_sets(words)), "node long, family long, shingles binary"))
     links = _verified_links(families, sets, scratch, percent)
     labels = connected_components(links, scratch, "linked")
     named_nodes = scratch.put("named", nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component")))

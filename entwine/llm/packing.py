@@ -25,10 +25,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entwine.llm.common import Scratch
+from entwine.llm.common import Scratch, task
 
 #: Bound of a worker's memo (entries).
-MEMO = 700_000
+MEMO = 400_000
 #: ASCII punctuation that may follow a word; the apostrophe has rules of its own.
 _TAIL = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
@@ -139,18 +139,11 @@ def _gather(flat: np.ndarray, at: np.ndarray, take: np.ndarray) -> tuple[np.ndar
     return flat[np.repeat(at[take] - begin[:-1], size) + np.arange(begin[-1])], begin
 
 
-#: The encoder of this worker process, by its specification.
-_encoders: dict[str, WordEncoder] = {}
-
-
 def word_encoder(spec: str) -> Callable[[pa.Array], list[bytes]]:
-    if spec not in _encoders:
-        _encoders.clear()
-        _encoders[spec] = WordEncoder(spec)
-    return _encoders[spec].encode
+    return WordEncoder(spec).encode
 
 
-def _in_steps(texts: pa.Array, rows: int = 2048, size: int = 8 << 20) -> Iterator[pa.Array]:
+def _in_steps(texts: pa.Array, rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.Array]:
     """Slices of at most ``rows`` texts and about ``size`` bytes."""
     ends = np.cumsum(pc.coalesce(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
@@ -240,7 +233,7 @@ def pack_tokens(documents: DataFrame, encoder: Callable, end_id: int, size: int
     spark = documents.sparkSession
     scratch = Scratch(spark, "packing")
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = scratch.put("pieces", rows.mapInArrow(_pack_partition(encoder, end_id, size, open_windows), _PIECES))
+    pieces = scratch.put("pieces", rows.mapInArrow(task(_pack_partition(encoder, end_id, size, open_windows)), _PIECES))
     left = pieces.where("open").groupBy("window").agg(F.sum("length").alias("filled"))
     left = scratch.put("left-0", left)
     n = left.count()
@@ -249,7 +242,7 @@ def pack_tokens(documents: DataFrame, encoder: Callable, end_id: int, size: int
         # a task of the first level takes about merge_rows windows; every level has a quarter of the tasks
         dealt = left.repartition(tasks, "window") if tasks > 1 else left.coalesce(1)
         step += 1
-        done = scratch.put(f"moves-{step}", dealt.select("window", "filled").mapInArrow(_merge_partition(size, open_windows, tasks == 1), _MOVES))
+        done = scratch.put(f"moves-{step}", dealt.select("window", "filled").mapInArrow(task(_merge_partition(size, open_windows, tasks == 1)), _MOVES))
         now = done.select("window", "target", "base")
         if moves is None:
             moves = now

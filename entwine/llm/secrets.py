@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entwine.llm.common import Scratch
+from entwine.llm.common import Scratch, task
 
 KINDS = ("assign", "access", "hex", "vendor", "example", "live")
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -113,7 +113,7 @@ def scan(documents: DataFrame, keep: list[str], owner: Column, repository: Colum
     scratch = Scratch(documents.sparkSession, "secrets")
     src = documents.select(*keep, owner.cast("string").alias("__owner"), repository.cast("string").alias("__repo"), F.col(text_col).cast("string").alias("__text"))
     columns = [(n, t) for n, t in src.dtypes if n != "__text"]
-    found = scratch.put("found", src.mapInArrow(_scan(src.columns.index("__text")), _schema(columns)))
+    found = scratch.put("found", src.mapInArrow(task(_scan(src.columns.index("__text"))), _schema(columns)))
     cands = found.select("__uid", "__owner", "__repo", F.explode("__cands").alias("c")).select("__uid", "__owner", "__repo", "c.*")
     held = cands.select("value", "__owner", "__repo").distinct()
     owners = held.groupBy("value", "__owner").agg(F.count("*").alias("repos")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
@@ -170,4 +170,4 @@ def redact(documents: DataFrame, text_col: str = "text", owner_col: str = "sourc
             cols = [pa.array(texts, pa.string()) if j == at else b.column(j) for j in range(len(columns))]
             yield pa.RecordBatch.from_arrays(cols, names=columns)
 
-    return found.mapInArrow(star, documents.schema)
+    return found.mapInArrow(task(star), documents.schema)

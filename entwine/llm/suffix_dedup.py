@@ -36,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entwine.llm.common import Scratch, byte_view, mix64
+from entwine.llm.common import Scratch, byte_view, mix64, task
 
 LENGTH, ANCHOR = 400, 32
 #: Items of a gram that go to one task; bytes of one suffix order.
-GROUP, ORDER_BYTES = 2048, 3 << 20
+GROUP, ORDER_BYTES = 2048, 2 << 20
 #: Buckets of the filter that keeps texts without a part in it out of a shuffle.
 BUCKETS = 1 << 20
-_PIECE_BITS = 21
+_PIECE_BITS = 20
 _LOWEST = np.iinfo(np.int64).min
 _MULT = (0x5851F42D4C957F2D, 0x9E3779B97F4A7C15)
 _TABLE = [mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(m)) for m in (0x2545F4914F6CDD1D, 0xD1342543DE82EF95)]
@@ -347,7 +347,7 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     scratch = Scratch(spark, "suffix-dedup")
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(int(_LOWEST))).alias("doc"), F.xxhash64("text").alias("row"), "text")
-    docs = scratch.put("docs", rows.mapInArrow(_scan(length), _DOCS))
+    docs = scratch.put("docs", rows.mapInArrow(task(_scan(length)), _DOCS))
     items = docs.select("doc", "row", F.inline("items"))
     place = F.struct("doc", "start", "row")
     later = mode == "later"
@@ -368,14 +368,14 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     wanted = ones.join(groups, "key").groupBy("doc", "row").agg(F.collect_list(F.struct("item", "doc", "start", "at", "n", "key", "total")).alias("wanted"))
     wanted = scratch.put("wanted", wanted)
     texts = _only(rows, wanted.select("doc", "row")).select("doc", "row", "text").join(wanted, ["doc", "row"]).select("text", "wanted")
-    bodies = scratch.put("bodies", texts.mapInArrow(_cut_items(length), _PARTS), compression="zstd")
+    bodies = scratch.put("bodies", texts.mapInArrow(task(_cut_items(length)), _PARTS), compression="zstd")
     ready = [bodies.where(F.col("total") <= group).select("key", "doc", "start", "item", "body")]
     found = []
     hot = bodies.where(F.col("total") > group).select("item", "doc", "start", F.lit(0).alias("low"), F.lit(length - ANCHOR).alias("high"), "at", "n", "key", "body")
     step = 0
     while not hot.isEmpty():
         step += 1
-        half = scratch.put(f"half-{step}", hot.mapInArrow(_halve(length), _HALVES), compression="zstd")
+        half = scratch.put(f"half-{step}", hot.mapInArrow(task(_halve(length)), _HALVES), compression="zstd")
         at = F.struct("doc", "start", "item")
         sizes = half.groupBy("key").agg(F.count("*").alias("total"), F.min("digest").alias("lo"), F.max("digest").alias("hi"), *([least(at)] if later else [])).where("total > 1")
         sizes = scratch.put(f"sizes-{step}", sizes.select("key", "total", (F.col("lo") == F.col("hi")).alias("equal"), *(["least"] if later else [])))
@@ -390,7 +390,7 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     for r in ready[1:]:
         dealt = dealt.unionByName(r)
     dealt = dealt.repartition(parts, "key").sortWithinPartitions("key")
-    ranges = dealt.mapInArrow(_match(length, not later), _RANGES)
+    ranges = dealt.mapInArrow(task(_match(length, not later)), _RANGES)
     for f in found:
         ranges = ranges.unionByName(f)
     ranges = scratch.put("ranges", ranges)
@@ -410,7 +410,7 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     marks = marks.groupBy("doc", "row").agg(F.collect_set(F.struct("first", (F.col("last") + length).alias("last"))).alias("ranges"))
     marks = scratch.put("marks", marks)
     cut = _only(rows, marks.select("doc", "row")).join(marks, ["doc", "row"]).select("doc_id", "doc", "row", "text", "ranges")
-    changed = scratch.put("changed", cut.mapInArrow(_remove, _RESULT))
+    changed = scratch.put("changed", cut.mapInArrow(task(_remove), _RESULT))
     for name in ("grams", "met", "groups", "wanted", "bodies", "ranges", "placed"):
         scratch.drop(name)
     once = changed.select("doc", "row", "n_removed", "n_spans", "kept_sha256", "spans").groupBy("doc", "row").agg(*[F.first(c).alias(c) for c in ("n_removed", "n_spans", "kept_sha256", "spans")])

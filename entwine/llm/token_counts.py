@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from entwine.llm.common import task
+
 MARK = "▁"
 #: Bounds of a worker's trie (nodes), and length over which a word is scored without being stored.
 NODES, LONG = 1_500_000, 200
@@ -118,4 +120,4 @@ def count_tokens(documents: DataFrame, model_path: str, id_col: str = "doc_id",
             cols = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["doc_id", "n_pretokens", "n_tokens", "unigram_score"])
 
-    return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long, unigram_score double")
+    return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(task(run), "doc_id long, n_pretokens long, n_tokens long, unigram_score double")

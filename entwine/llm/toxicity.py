@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entwine.llm.common import mix64
+from entwine.llm.common import mix64, task
 
 WINDOW, STRIDE = 32, 16
 WORD_ROWS, CHAR_ROWS, DIM, HIDDEN = 1 << 14, 1 << 13, 8, 12
@@ -288,7 +288,7 @@ def score_texts(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(at)] + [pa.array(np.concatenate(out), pa.float64())], names=[*keep, "score"])
 
     kept = ", ".join(f"`{n}` {t}" for n, t in documents.select(*keep).dtypes)
-    scored = src.mapInArrow(run, f"{kept}, score double")
+    scored = src.mapInArrow(task(run), f"{kept}, score double")
     return scored.withColumn("held_out", held_out(F.col(id_col))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entwine.llm.common import Scratch
+from entwine.llm.common import Scratch, task
 
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -118,7 +118,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_warc(spark, path: str) -> DataFrame:
     """Records of WARC files (plain or gzip): file, offset, type, id, exact header, block."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_parse, "file string, offset long, record_type string, record_id string, header binary, block binary")
+    return files.mapInArrow(task(_parse), "file string, offset long, record_type string, record_id string, header binary, block binary")
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:

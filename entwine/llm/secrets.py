@@ -3,8 +3,9 @@
 Every text is scanned whole for candidates.  The candidates' values are hashed
 and the hashes counted by distinct repository and owner over all documents.
 A value that several owners share is a copied example.  A value of one owner
-that looks random is a live credential.  The scan keeps every base span and adds
-one span of kind ``example`` or ``live`` around each value so classed.
+that looks random is a live credential.  The scan keeps every base and vendor span
+and adds one span of kind ``example`` or ``live`` around each value so classed.
+The counts and the digest cover the base kinds only.
 
 Nulls are empty texts.  A null owner or repository is an owner or repository of
 its own.  Rows that repeat an id are separate documents.  An empty table gives an
@@ -60,9 +61,10 @@ def _span_text(spans: list[tuple[int, int, int, str]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in spans)
 
 
-_SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
+# A span's value is [at, end); ``at`` differs from ``start`` in assignments only.
+_SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("at", pa.int32())])
 _CAND = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.binary()), ("live", pa.bool_())])
-_FOUND = "uid long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, cands array<struct<start:int,end:int,value:binary,live:boolean>>"
+_FOUND = "uid long, n_assign long, n_access long, n_hex long, base_sha256 string, spans array<struct<start:int,kind:int,end:int,at:int>>, cands array<struct<start:int,end:int,value:binary,live:boolean>>"
 
 
 def _scan(text_at: int):
@@ -81,14 +83,14 @@ def _scan(text_at: int):
                 rows.append(
                     (
                         uid, n[0], n[1], n[2], hashlib.sha256(_span_text(spans).encode()).hexdigest(),
-                        [{"start": s, "kind": k, "end": e} for s, k, e, _ in spans],
+                        [{"start": s, "kind": k, "end": e, "at": e - len(v)} for s, k, e, v in (*spans, *more)],
                         [{"start": s, "end": e, "value": hashlib.sha256(v.encode()).digest()[:16], "live": looks_live(v)} for (s, e), v in sorted(cands.items())],
                     )
                 )
                 uid += 1
             cols = list(zip(*rows, strict=True)) or [[]] * 7
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(_SPAN), pa.list_(_CAND))
-            names = ("uid", "n_assign", "n_access", "n_hex", "base_sha256", "base", "cands")
+            names = ("uid", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "cands")
             kept = [i for i in range(b.num_columns) if b.schema.field(i).name != "__text"]
             yield pa.RecordBatch.from_arrays(
                 [b.column(i) for i in kept] + [pa.array(c, t) for c, t in zip(cols, types, strict=True)],
@@ -104,7 +106,7 @@ def _schema(columns: list[tuple[str, str]]) -> str:
 
 
 def scan(documents: DataFrame, keep: list[str], owner: Column, repository: Column, text_col: str = "text", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """Columns ``keep`` and, per row: counts, digest, ``__base`` spans and ``__added`` spans (start, kind, end).
+    """Columns ``keep`` and, per row: counts, digest, found ``__spans`` and ``__added`` spans of classes (start, kind, end, at).
 
     The candidates alone are shuffled: distinct (value, owner, repository) rows
     are counted per value after partial aggregation, and the class comes back by
@@ -121,8 +123,8 @@ def scan(documents: DataFrame, keep: list[str], owner: Column, repository: Colum
     classed = cands.join(owners, "value")
     kind = F.when(F.col("owners") >= example_owners, F.lit(KINDS.index("example"))).when((F.col("owners") == 1) & F.col("live"), F.lit(KINDS.index("live")))
     added = classed.withColumn("kind", kind).where(F.col("kind").isNotNull())
-    added = added.groupBy(F.col("__uid").alias("__of")).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("__added"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    added = added.groupBy(F.col("__uid").alias("__of")).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", F.col("start").alias("at")))).alias("__added"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,at:int>>")
     out = found.join(added, found["__uid"] == added["__of"], "left")
     return out.withColumn("__added", F.coalesce("__added", none)).drop("__of", "__uid", "__owner", "__repo", "__cands")
 
@@ -133,7 +135,7 @@ def secret_report(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     The corpus names no repository, so one owner's texts of one language are one.
     """
     found = scan(documents, [id_col], F.col(owner_col), F.concat_ws("/", F.col(owner_col), F.col(repository_col)), text_col)
-    spans = F.array_sort(F.concat("__base", "__added"))
+    spans = F.array_sort(F.concat("__spans", "__added"))
     names = F.array(*(F.lit(k) for k in KINDS))
     text = F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter("__added", lambda s: s["kind"] == KINDS.index(k))).cast("long")
@@ -146,14 +148,15 @@ def secret_report(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 def redact(documents: DataFrame, text_col: str = "text", owner_col: str = "source", repository_col: str = "lang") -> DataFrame:
     """``documents`` with every secret starred out, but for values that are copied examples.
 
+    A span is shown only if its whole value is an example, not for an example within it.
     All rows and columns stay, and so does the length of every text in code points.
     """
     columns = documents.columns
     found = scan(documents, columns, F.col(owner_col), F.concat_ws("/", F.col(owner_col), F.col(repository_col)), text_col)
     example = KINDS.index("example")
     shown = F.filter("__added", lambda s: s["kind"] == example)
-    hidden = F.concat("__base", F.filter("__added", lambda s: s["kind"] != example))
-    hidden = F.filter(hidden, lambda h: ~F.exists(shown, lambda s: (s["start"] >= h["start"]) & (s["end"] <= h["end"])))
+    hidden = F.concat("__spans", F.filter("__added", lambda s: s["kind"] != example))
+    hidden = F.filter(hidden, lambda h: ~F.exists(shown, lambda s: (s["start"] == h["at"]) & (s["end"] == h["end"])))
     found = found.withColumn("__hide", hidden)
     at = found.columns.index(text_col)
     hide_at = found.columns.index("__hide")

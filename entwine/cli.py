@@ -55,8 +55,11 @@ def block_sparse(run: Run, a) -> None:
 
 
 def _features(run: Run, family: str) -> DataFrame:
-    pairs = blocking.candidate_context(run.read(f"cand_sparse_{family}"))
-    return run.write(linkage.pair_features(pairs, run.read(f"records_{family}")), f"features_{family}")
+    """Over all channels. ``dense.names`` and ``dense.texts`` of the settings name tables of supplied vectors (``NAME_FAMILY``)."""
+    records = run.read(f"records_{family}")
+    supplied = [run.read(f"{t}_{family}") if t else None for t in (run.cfg["dense"].get("names"), run.cfg["dense"].get("texts"))]
+    pairs = run.write(linkage.extra_channels(run.read(f"cand_sparse_{family}"), records, *supplied, run.cfg), f"cand_all_{family}")
+    return run.write(linkage.pair_features(pairs, records), f"features_{family}")
 
 
 def matcher(run: Run, a) -> None:

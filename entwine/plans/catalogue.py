@@ -834,7 +834,7 @@ def build_records(spark, d):
 @query()
 def pair_features_48(spark, d):
     r = linkage.build_records(raw_records(spark, d)).persist()  # read by every channel; spills to disk
-    return linkage.pair_features(linkage.block_family(r).persist(), r)
+    return linkage.pair_features(linkage.extra_channels(linkage.block_family(r).persist(), r).persist(), r)
 
 
 def label_features(spark, d) -> DataFrame:

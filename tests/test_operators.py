@@ -398,3 +398,18 @@ def test_candidates_and_features(records):
     assert len(f.columns) == 50 and f.count() == cands.count()
     r = {(x.s, x.c): x for x in f.collect()}["S1-1", "S2-1"]
     assert r.house_cmp == 1 and r.state_cmp == 1 and r.house_num_diff == 0 and r.cand_addr_empty == 0 and r.name_token_set > 80
+
+
+def test_extra_channels(spark):
+    raw = [
+        ("S1-1", 1, "Fafloon Pet Care Inc", "1130 Regency Road, Atlanta, GA", "US"), ("S2-1", 2, "Fafloon Pet Care", "1130 Regency Road, Atlanta", "US"), ("S3-1", 3, "Fafloon Pet", "", "US"), ("S3-2", 3, "Pet Fafloon", "77 Harbour Lane, Boise", "US"),
+        ("S1-2", 1, "Quartz Mining", "9 Hill Street, Dallas, TX", "US"), ("S2-2", 2, "Zebra Umbrella", "", "US"), ("S2-9", 2, "Fafloon Pet Care", "1130 Regency Road", "France"),
+    ]
+    r = linkage.build_records(spark.createDataFrame(raw, "entity_id string, source int, business_name string, business_address string, country string")).cache()
+    sparse = pairs(spark, [("S1-1", "S3-1", 0.5, 1, 0, 0.0, 0)], "s string, c string, tfidf_sim double, tfidf_rank int, key_hits int, name_sim double, name_key int")
+    f = {(x.s, x.c): x for x in linkage.pair_features(linkage.extra_channels(sparse, r), r).collect()}
+    assert {c for _, c in f} == {"S2-1", "S3-1", "S3-2", "S2-2"}
+    assert f["S1-1", "S3-2"].from_graph == 1 and f["S1-1", "S3-2"].graph_paths == 1
+    assert f["S1-1", "S3-1"].from_hardname == 1 and f["S1-1", "S3-1"].hard_emb_rank == 1 and f["S1-1", "S3-1"].hard_emb_sim > f["S1-2", "S3-1"].hard_emb_sim
+    assert f["S1-1", "S2-1"].from_dense == 1 and f["S1-1", "S2-1"].dense_rank == 1 and f["S1-1", "S2-1"].from_hardname == 0
+    assert f["S1-1", "S2-1"].emb_cos > 0.5 and f["S1-1", "S2-2"].emb_cos_gap > 0.3

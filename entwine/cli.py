@@ -47,8 +47,11 @@ def split(run: Run, a) -> None:
 
 
 def block_sparse(run: Run, a) -> None:
+    """State groups are learned from the truth of ``train`` and kept for the other families."""
     for family in a.family:
-        pairs = run.write(linkage.block_family(run.read(f"records_{family}"), run.cfg), f"cand_sparse_{family}")
+        if family == "train":
+            run.write(linkage.learn_groups(run.read("records_train"), run.truth(), run.cfg), "state_groups")
+        pairs = run.write(linkage.block_family(run.read(f"records_{family}"), run.cfg, run.read("state_groups")), f"cand_sparse_{family}")
         if family == "train":
             print("completeness", decision.pair_completeness(pairs, run.truth()).first()[0])
         print(decision.candidates_per_entity(pairs, run.entities(family)).first())
@@ -58,7 +61,7 @@ def _features(run: Run, family: str) -> DataFrame:
     """Over all channels. ``dense.names`` and ``dense.texts`` of the settings name tables of supplied vectors (``NAME_FAMILY``)."""
     records = run.read(f"records_{family}")
     supplied = [run.read(f"{t}_{family}") if t else None for t in (run.cfg["dense"].get("names"), run.cfg["dense"].get("texts"))]
-    pairs = run.write(linkage.extra_channels(run.read(f"cand_sparse_{family}"), records, *supplied, run.cfg), f"cand_all_{family}")
+    pairs = run.write(linkage.extra_channels(run.read(f"cand_sparse_{family}"), records, *supplied, run.cfg, run.read("state_groups")), f"cand_all_{family}")
     return run.write(linkage.pair_features(pairs, records), f"features_{family}")
 
 

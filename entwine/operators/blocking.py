@@ -94,11 +94,11 @@ def record_keys(records: DataFrame, names: int = 2, words: int = 3, min_len: int
     return house.unionByName(both)
 
 
-def name_pair_keys(records: DataFrame, min_len: int = 3) -> DataFrame:
+def name_pair_keys(records: DataFrame, min_len: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
     """The two rarest name words, in order, of records that have two."""
-    rare = rarest_tokens(records.select("id", F.explode(F.split("name", " ")).alias("tok")), 2, min_len)
-    pair = rare.groupBy("id").agg(F.array_sort(F.collect_list("tok")).alias("t")).where(F.size("t") == 2)
-    return records.select("id", "is_query").join(pair, "id").select("id", "is_query", F.array_join("t", "|").alias("key"))
+    rare = rarest_tokens(records.select("id", *by, F.explode(F.split("name", " ")).alias("tok")), 2, min_len, by)
+    pair = rare.groupBy("id", *by).agg(F.array_sort(F.collect_list("tok")).alias("t")).where(F.size("t") == 2)
+    return records.select("id", "is_query", *by).join(pair, ["id", *by]).select("id", "is_query", *by, F.array_join("t", "|").alias("key"))
 
 
 def spread_unknown(records: DataFrame, group: str = "grp") -> DataFrame:
@@ -108,6 +108,16 @@ def spread_unknown(records: DataFrame, group: str = "grp") -> DataFrame:
     return records.where((F.col(group) != "") | F.col("is_query")).unionByName(unknown)
 
 
+def group_slots(records: DataFrame) -> DataFrame:
+    """``records`` (id, is_query, country, grp) by ``slot``: a query in that of its group, the others in every slot of their country that sees them.
+
+    The slot of a group sees it and the unknown group (empty); the unknown slot sees all.
+    """
+    slots = records.where("is_query").select("country", F.col("grp").alias("slot")).distinct()
+    others = records.where("not is_query").join(F.broadcast(slots), "country").where("slot = '' or grp = '' or grp = slot")
+    return records.where("is_query").withColumn("slot", F.col("grp")).unionByName(others)
+
+
 def union_channels(*channels: DataFrame, defaults: dict[str, object] | None = None) -> DataFrame:
     """Full outer union of pair tables (s, c, ...), with defaults where a channel lacks a pair."""
     out = channels[0]

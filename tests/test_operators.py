@@ -413,3 +413,20 @@ def test_extra_channels(spark):
     assert f["S1-1", "S3-1"].from_hardname == 1 and f["S1-1", "S3-1"].hard_emb_rank == 1 and f["S1-1", "S3-1"].hard_emb_sim > f["S1-2", "S3-1"].hard_emb_sim
     assert f["S1-1", "S2-1"].from_dense == 1 and f["S1-1", "S2-1"].dense_rank == 1 and f["S1-1", "S2-1"].from_hardname == 0
     assert f["S1-1", "S2-1"].emb_cos > 0.5 and f["S1-1", "S2-2"].emb_cos_gap > 0.3
+
+
+def test_state_groups(spark):
+    cols = dict.fromkeys(linkage.RECORD_COLUMNS, "")
+    rec = lambda i, source, name, addr, state, country="US": tuple((cols | {"entity_id": i, "source": source, "country": country, "name_core": name, "name_norm": name, "addr_norm": addr, "house_no": addr.split(" ")[0], "state": state, "block_text": f"{name} {addr}"}).values())
+    rows = [rec("S1-1", 1, "acme bakery", "12 main", "ga"), rec("S2-1", 2, "acme bakery", "12 main", "al"), rec("S2-2", 2, "acme bakery", "12 main", "tx"), rec("S2-3", 2, "acme bakery", "12 main", "")]
+    rows += [rec("S2-4", 2, "acme bakery", "", ""), rec("S1-5", 1, "acme bakery", "12 main", "q", "FR"), rec("S2-5", 2, "acme bakery", "", "", "FR")]
+    r = spark.createDataFrame(rows, ", ".join(f"{c} {'int' if c == 'source' else 'string'}" for c in linkage.RECORD_COLUMNS)).cache()
+    cfg = config.merge(config.DEFAULTS, {"tfidf": {"min_df": 1, "max_df": 1.0}, "groups": {"min_pairs": 1}, "keys": {"max_block": 4}, "name_only": {"max_block": 2}})
+    groups = linkage.learn_groups(r, pairs(spark, [("S1-1", "S2-1")]), cfg).cache()
+    assert {(x.country, x.state, x.grp) for x in groups.collect()} == {("US", "ga", "US|al+US|ga"), ("US", "al", "US|al+US|ga")}
+    by_tfidf = lambda t: {x.c for x in t.where("s = 'S1-1' and tfidf_rank < 999").collect()}
+    merged = linkage.block_family(r, cfg, groups).cache()
+    assert {"S2-1", "S2-3"} <= by_tfidf(merged) and "S2-2" not in by_tfidf(merged)
+    assert {x.c for x in merged.where("s = 'S1-1' and key_hits > 0").collect()} == {"S2-1", "S2-3"}
+    assert {(x.s, x.c) for x in merged.where("name_key = 1").collect()} == {("S1-1", "S2-4"), ("S1-5", "S2-5")}
+    assert {"S2-1", "S2-2", "S2-3"} <= by_tfidf(linkage.block_family(r, cfg))

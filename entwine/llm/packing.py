@@ -42,6 +42,8 @@ class OpenWindows:
 
     def place(self, n: int) -> tuple[int, int, int | None]:
         """(window, offset there, window emitted to make room) for a piece of ``n`` ids."""
+        if n == self.size:  # fills a window of its own, which is never open
+            return self.name(), 0, None
         i = bisect.bisect_right(self.open, (self.size - n, 1 << 62)) - 1
         gone = None
         if i >= 0:

@@ -368,3 +368,11 @@ def test_packing(docs, edge, none):
             total = sum(r["length"] for r in got)
             assert total / (4096 * len(seq)) > 0.9
     assert packing.pack_documents(none, path).count() == 0
+
+
+def test_full_pieces_close_no_window():
+    names = iter(range(100))
+    w = packing.OpenWindows(8, 2, lambda: next(names))
+    assert [w.place(n) for n in (3, 6)] == [(0, 0, None), (1, 0, None)]
+    assert [w.place(8) for _ in range(3)] == [(2, 0, None), (3, 0, None), (4, 0, None)]
+    assert w.place(5) == (0, 3, None) and w.open == [(6, 1)]

@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from entwine.llm.common import mix64, task
+from entwine.llm.common import free_names, mix64, task
 
 WINDOW, STRIDE = 32, 16
 WORD_ROWS, CHAR_ROWS, DIM, HIDDEN = 1 << 14, 1 << 13, 8, 12
@@ -209,7 +210,7 @@ class Scorer:
 
     def _reset(self) -> None:
         self.number: dict[str, int] = {}
-        self.f = self.b = np.zeros((1 << 14, 3 * HIDDEN), np.float32)
+        self.f, self.b = (np.zeros((1 << 14, 3 * HIDDEN), np.float32) for _ in "fb")
 
     def _learn(self, words: set[str]) -> None:
         if len(self.number) > MEMO:
@@ -250,27 +251,27 @@ def held_out(id_col: Column) -> Column:
 
 def training_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int, sample_chars: int, sample_words: int) -> tuple[list[str], list[int]]:
     """At most ``sample_rows`` rows of either label, never a held-out one."""
-    rows = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where(F.col("__y").isin(0, 1) & ~held_out(F.col("__id")))
-    order = (F.xxhash64("__id"), "__id", "__y")
-    chosen = rows.where("__y = 1").orderBy(*order).limit(sample_rows).unionByName(rows.where("__y = 0").orderBy(*order).limit(sample_rows))
-    texts = documents.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__t")).where(F.length("__t") <= sample_chars)
-    got = texts.join(F.broadcast(chosen), "__id").select("__id", "__t", "__y").collect()  # 2 * sample_rows rows at most, but for repeated ids
-    got.sort(key=lambda r: (zlib.crc32(str(r["__id"]).encode()), r["__id"], r["__t"]))
+    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("id")))
+    order = (F.xxhash64("id"), "id", "y")
+    chosen = rows.where("y = 1").orderBy(*order).limit(sample_rows).unionByName(rows.where("y = 0").orderBy(*order).limit(sample_rows))
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where(F.length("t") <= sample_chars)
+    got = texts.join(F.broadcast(chosen), "id").select("id", "t", "y").collect()  # 2 * sample_rows rows at most, but for repeated ids
+    got.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["t"]))
     out, words = [], 0
     for r in got:
-        words += r["__t"].count(" ") + 1
+        words += r["t"].count(" ") + 1
         if words > sample_words:
             break
         out.append(r)
-    return [r["__t"] for r in out], [r["__y"] for r in out]
+    return [r["t"] for r in out], [r["y"] for r in out]
 
 
-def score_texts(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 2000, sample_chars: int = 30_000, sample_words: int = 1_200_000, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (the id alone by default), ``held_out``, ``score`` and ``predicted`` of every row."""
+def _scored(documents: DataFrame, labels: DataFrame, keep: list[str], name: str, id_col: str, text_col: str, label_col: str, sample_rows: int, sample_chars: int, sample_words: int) -> DataFrame:
+    """Columns ``keep`` and the score under ``name``, which none of them has."""
     net = train(*training_sample(documents, labels, id_col, text_col, label_col, sample_rows, sample_chars, sample_words))
     shared = documents.sparkSession.sparkContext.broadcast(net)  # of fixed size
-    keep = keep or [id_col]
-    src = documents.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    (text,) = free_names([*keep, name], "text")
+    src = documents.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).cast("string").alias(text))
     at = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,13 +286,20 @@ def score_texts(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                     out.append(scorer.scores(held))
                     held, size = [], 0
             out.append(scorer.scores(held))
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(at)] + [pa.array(np.concatenate(out), pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(at)] + [pa.array(np.concatenate(out), pa.float64())], names=[*keep, name])
 
-    kept = ", ".join(f"`{n}` {t}" for n, t in documents.select(*keep).dtypes)
-    scored = src.mapInArrow(task(run), f"{kept}, score double")
+    return src.mapInArrow(task(run), StructType([*src.schema.fields[:at], StructField(name, DoubleType())]))
+
+
+def score_texts(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 2000, sample_chars: int = 30_000, sample_words: int = 1_200_000) -> DataFrame:
+    """The id, ``held_out``, ``score`` and ``predicted`` of every row; other columns are not read."""
+    scored = _scored(documents, labels, [id_col], "score", id_col, text_col, label_col, sample_rows, sample_chars, sample_words)
     return scored.withColumn("held_out", held_out(F.col(id_col))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def reject_toxic(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows that are not predicted toxic, with all their columns."""
-    return score_texts(documents, labels, keep=documents.columns, **options).where("predicted = 0").select(*documents.columns)
+def reject_toxic(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 2000, sample_chars: int = 30_000, sample_words: int = 1_200_000) -> DataFrame:
+    """The rows that are not predicted toxic, with all their columns, whatever their names (a column ``score`` is kept as it is)."""
+    columns = documents.columns
+    (score,) = free_names(columns, "score")
+    scored = _scored(documents, labels, columns, score, id_col, text_col, label_col, sample_rows, sample_chars, sample_words)
+    return scored.where(F.col(score) < 0.5).drop(score)

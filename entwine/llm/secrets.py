@@ -2,8 +2,10 @@
 
 Every text is scanned whole for candidates.  The candidates' values are hashed
 and the hashes counted by distinct repository and owner over all documents.
-A value that several owners share is a copied example.  A value of one owner
-that looks random is a live credential.  The scan keeps every base and vendor span
+A value of three owners, or of two in eight repositories, is a widely copied
+example.  A value of one owner in fewer than eight repositories that looks random
+is a live credential; in more it is a value of the owner's own boilerplate, which
+gets no class and so stays hidden.  The scan keeps every base and vendor span
 and adds one span of kind ``example`` or ``live`` around each value so classed.
 The counts and the digest cover the base kinds only.
 
@@ -23,8 +25,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from entwine.llm.common import Scratch, task
+from entwine.llm.common import Scratch, free_names, task
 
 KINDS = ("assign", "access", "hex", "vendor", "example", "live")
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -33,8 +36,8 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # a run of 24 or more is the whole run, as
 #: Candidates beyond the base kinds: public prefixes of vendors' keys.
 _VENDOR = re.compile(r"(?:gh[pousr]_|xox[abprs]-|sk_live_|AIza)[A-Za-z0-9_-]{16,}")
 _PLACEHOLDER = re.compile(r"example|sample|changeme|placeholder|dummy|xxxx|your[_-]", re.IGNORECASE)
-#: A value of this many owners is an example.
-EXAMPLE_OWNERS = 3
+#: A value of this many owners is an example; one owner fewer will do if it is in this many repositories.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 8
 #: Least length and entropy (bits a character) of a live-looking value.
 LIVE_LENGTH, LIVE_BITS = 16, 3.0
 
@@ -67,7 +70,7 @@ _CAND = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.bina
 _FOUND = "uid long, n_assign long, n_access long, n_hex long, base_sha256 string, spans array<struct<start:int,kind:int,end:int,at:int>>, cands array<struct<start:int,end:int,value:binary,live:boolean>>"
 
 
-def _scan(text_at: int):
+def _scan(text_at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -90,81 +93,74 @@ def _scan(text_at: int):
                 uid += 1
             cols = list(zip(*rows, strict=True)) or [[]] * 7
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(_SPAN), pa.list_(_CAND))
-            names = ("uid", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "cands")
-            kept = [i for i in range(b.num_columns) if b.schema.field(i).name != "__text"]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(i) for i in kept] + [pa.array(c, t) for c, t in zip(cols, types, strict=True)],
-                names=[b.schema.field(i).name for i in kept] + [f"__{n}" for n in names],
-            )
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(text_at)] + [pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     return run
 
 
-def _schema(columns: list[tuple[str, str]]) -> str:
-    kept = [f"`{n}` {t}" for n, t in columns]
-    return ", ".join([*kept, *(f"__{x.strip()}" for x in re.split(r", (?=\w+ )", _FOUND))])
-
-
-def scan(documents: DataFrame, keep: list[str], owner: Column, repository: Column, text_col: str = "text", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """Columns ``keep`` and, per row: counts, digest, found ``__spans`` and ``__added`` spans of classes (start, kind, end, at).
+def scan(documents: DataFrame, keep: list[str], owner: Column, repository: Column, text_col: str = "text") -> DataFrame:
+    """A struct ``row`` of the columns ``keep`` and, per row: counts, ``base_sha256``, found ``spans`` and ``added`` spans of classes (start, kind, end, at).
 
     The candidates alone are shuffled: distinct (value, owner, repository) rows
     are counted per value after partial aggregation, and the class comes back by
     a join on the value, whose hot values AQE splits.
     """
     scratch = Scratch(documents.sparkSession, "secrets")
-    src = documents.select(*keep, owner.cast("string").alias("__owner"), repository.cast("string").alias("__repo"), F.col(text_col).cast("string").alias("__text"))
-    columns = [(n, t) for n, t in src.dtypes if n != "__text"]
-    found = scratch.put("found", src.mapInArrow(task(_scan(src.columns.index("__text"))), _schema(columns)))
-    cands = found.select("__uid", "__owner", "__repo", F.explode("__cands").alias("c")).select("__uid", "__owner", "__repo", "c.*")
-    held = cands.select("value", "__owner", "__repo").distinct()
-    owners = held.groupBy("value", "__owner").agg(F.count("*").alias("repos")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    # the caller's columns travel in a struct, so their names meet none of these
+    src = documents.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), owner.cast("string").alias("owner"), repository.cast("string").alias("repo"), F.col(text_col).cast("string").alias("text"))
+    fields = src.schema.fields[:3]
+    found_schema = StructType([*fields, *StructType.fromDDL(_FOUND).fields])
+    found = scratch.put("found", src.mapInArrow(task(_scan(3, found_schema.fieldNames())), found_schema))
+    cands = found.select("uid", "owner", "repo", F.explode("cands").alias("c")).select("uid", "owner", "repo", "c.*")
+    held = cands.select("value", "owner", "repo").distinct()
+    owners = held.groupBy("value", "owner").agg(F.count("*").alias("repos")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
     owners = scratch.put("owners", owners)
     classed = cands.join(owners, "value")
-    kind = F.when(F.col("owners") >= example_owners, F.lit(KINDS.index("example"))).when((F.col("owners") == 1) & F.col("live"), F.lit(KINDS.index("live")))
+    widely = (F.col("owners") >= EXAMPLE_OWNERS) | ((F.col("owners") == EXAMPLE_OWNERS - 1) & (F.col("repos") >= EXAMPLE_REPOSITORIES))
+    own = (F.col("owners") == 1) & (F.col("repos") < EXAMPLE_REPOSITORIES) & F.col("live")
+    kind = F.when(widely, F.lit(KINDS.index("example"))).when(own, F.lit(KINDS.index("live")))
     added = classed.withColumn("kind", kind).where(F.col("kind").isNotNull())
-    added = added.groupBy(F.col("__uid").alias("__of")).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", F.col("start").alias("at")))).alias("__added"))
+    added = added.groupBy(F.col("uid").alias("of")).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", F.col("start").alias("at")))).alias("added"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,at:int>>")
-    out = found.join(added, found["__uid"] == added["__of"], "left")
-    return out.withColumn("__added", F.coalesce("__added", none)).drop("__of", "__uid", "__owner", "__repo", "__cands")
+    out = found.join(added, found["uid"] == added["of"], "left")
+    return out.withColumn("added", F.coalesce("added", none)).drop("of", "uid", "owner", "repo", "cands")
 
 
-def secret_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "lang") -> DataFrame:
-    """Per row: id, base counts, digest of the base spans, and all spans.
+def secret_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None) -> DataFrame:
+    """Per row: id, base counts, digest of the base spans, all spans, and how many of them are examples and live.
 
-    The corpus names no repository, so one owner's texts of one language are one.
+    Without a repository column a document is a repository of its own.
     """
-    found = scan(documents, [id_col], F.col(owner_col), F.concat_ws("/", F.col(owner_col), F.col(repository_col)), text_col)
-    spans = F.array_sort(F.concat("__spans", "__added"))
+    found = scan(documents, [id_col], F.col(owner_col), F.col(repository_col or id_col), text_col)
+    spans = F.array_sort(F.concat("spans", "added"))
     names = F.array(*(F.lit(k) for k in KINDS))
     text = F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
-    count = lambda k: F.size(F.filter("__added", lambda s: s["kind"] == KINDS.index(k))).cast("long")
+    count = lambda k: F.size(F.filter("added", lambda s: s["kind"] == KINDS.index(k))).cast("long")
     return found.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col("__n_assign").alias("n_assign"), F.col("__n_access").alias("n_access"), F.col("__n_hex").alias("n_hex"),
-        F.col("__base_sha256").alias("base_sha256"), text.alias("spans"), count("example").alias("n_example"), count("live").alias("n_live"),
+        F.col("row").getField(id_col).cast("long").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", text.alias("spans"), count("example").alias("n_example"), count("live").alias("n_live")
     )
 
 
-def redact(documents: DataFrame, text_col: str = "text", owner_col: str = "source", repository_col: str = "lang") -> DataFrame:
+def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None) -> DataFrame:
     """``documents`` with every secret starred out, but for values that are copied examples.
 
     A span is shown only if its whole value is an example, not for an example within it.
-    All rows and columns stay, and so does the length of every text in code points.
+    All rows and columns stay, whatever their names, and so does the length of every text in code points.
     """
     columns = documents.columns
-    found = scan(documents, columns, F.col(owner_col), F.concat_ws("/", F.col(owner_col), F.col(repository_col)), text_col)
+    found = scan(documents, columns, F.col(owner_col), F.col(repository_col or id_col), text_col)
     example = KINDS.index("example")
-    shown = F.filter("__added", lambda s: s["kind"] == example)
-    hidden = F.concat("__spans", F.filter("__added", lambda s: s["kind"] != example))
+    shown = F.filter("added", lambda s: s["kind"] == example)
+    hidden = F.concat("spans", F.filter("added", lambda s: s["kind"] != example))
     hidden = F.filter(hidden, lambda h: ~F.exists(shown, lambda s: (s["start"] == h["at"]) & (s["end"] == h["end"])))
-    found = found.withColumn("__hide", hidden)
-    at = found.columns.index(text_col)
-    hide_at = found.columns.index("__hide")
+    at = columns.index(text_col)
+    (hide,) = free_names(columns, "hide")
+    flat = found.select(*(F.col("row").getField(c).alias(c) for c in columns), hidden.alias(hide))
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(at).to_pylist()
-            for i, spans in enumerate(b.column(hide_at).to_pylist()):
+            for i, spans in enumerate(b.column(len(columns)).to_pylist()):
                 if spans and texts[i]:
                     t = list(texts[i])
                     for s in spans:
@@ -173,4 +169,4 @@ def redact(documents: DataFrame, text_col: str = "text", owner_col: str = "sourc
             cols = [pa.array(texts, pa.string()) if j == at else b.column(j) for j in range(len(columns))]
             yield pa.RecordBatch.from_arrays(cols, names=columns)
 
-    return found.mapInArrow(task(star), documents.schema)
+    return flat.mapInArrow(task(star), documents.schema)

@@ -14,6 +14,7 @@ An empty table gives no piece.  Only the id and text columns are read.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import zlib
 from array import array
@@ -57,29 +58,69 @@ class OpenWindows:
         return window, filled, gone
 
 
+#: The normalizer and pre-tokenizer whose rules the word encoder relies on.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}
+
+
+def _tokenizer(spec: str):
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    tok = Tokenizer.from_str(spec)
+    tok.no_truncation()
+    tok.encode_special_tokens = True
+    return tok
+
+
+class TextEncoder:
+    """texts to little-endian ids by any tokenizer file, each text whole."""
+
+    def __init__(self, spec: str):
+        self.tok = _tokenizer(spec)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+
+
 class WordEncoder:
     """texts to little-endian ids, by their distinct words, which are looked up in a bounded memo.
 
     The tokenizer's own pattern never crosses white space and drops it, so a
     text's ids are the ids of its chunks between blanks.  It also ends a token
     between a letter or digit and ASCII punctuation, and lower-cases, so a chunk's
-    ids are those of its lower-cased word and of its tail.  Arrow splits a batch of
-    texts and numbers its distinct chunks and words; only new words reach the
-    tokenizer.  Words of letters alone are one pre-token each and are encoded many
-    at a time: the id that ends a word says so.
+    ids are those of its lower-cased word and of its tail, provided that the
+    word's last character stays a letter or digit when normalized: the tokenizer
+    itself is asked once for each such character, and a chunk for which it says
+    no is encoded whole.  Arrow splits a batch of texts and numbers its distinct
+    chunks and words; only new words reach the tokenizer.  Words of letters alone
+    are one pre-token each and are encoded many at a time: the id that ends a word
+    says so.
     """
 
     def __init__(self, spec: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tok = Tokenizer.from_str(spec)
-        self.tok.no_truncation()
-        self.tok.encode_special_tokens = True
+        self.tok = _tokenizer(spec)
         vocab = self.tok.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
+        self.parted: dict[str, bool] = {}
+
+    @staticmethod
+    def fits(spec: str) -> bool:
+        """Whether the file has the rules above."""
+        held = json.loads(spec)
+        return held.get("normalizer") == _NORMALIZER and held.get("pre_tokenizer") == _PRE_TOKENIZER and held["model"].get("end_of_word_suffix") == "</w>"
+
+    def _parts(self, last: str) -> bool:
+        """Whether a token ends between this character and punctuation."""
+        known = self.parted.get(last)
+        if known is None:
+            alone, both = (self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(x)) for x in (last, f"{last}!"))
+            known = self.parted[last] = [t for t, _ in both] == [*(t for t, _ in alone), "!"]
+        return known
 
     def _each(self, words: list[str]) -> None:
         for s in range(0, len(words), 10_000):
@@ -87,7 +128,7 @@ class WordEncoder:
             self.words.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True))
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if w.isalpha() and len(w) < 1000]
+        plain = [w for w in words if w.isalpha()]
         if len(plain) < len(words):
             self._each(list(set(words).difference(plain)))
         groups = [plain[s : s + 200] for s in range(0, len(plain), 200)]
@@ -115,7 +156,9 @@ class WordEncoder:
         each, numbers = chunks.dictionary, chunks.indices.to_numpy()
         # a chunk that ends in a letter or digit and a tail is its word and its tail
         bare = pc.utf8_rtrim(each, characters=_TAIL)
-        cut = pc.utf8_is_alnum(pc.utf8_slice_codeunits(bare, start=-1, stop=None))
+        last = pc.utf8_slice_codeunits(bare, start=-1, stop=None).dictionary_encode()
+        parted = pa.array([c != "" and self._parts(c) for c in last.dictionary.to_pylist()], pa.bool_())
+        cut = parted.take(last.indices)
         latin = pc.and_(cut, pc.match_substring_regex(bare, r"^[\x{00}-\x{FF}]*$"))
         word = pc.if_else(latin, pc.utf8_lower(bare), pc.if_else(cut, bare, each)).dictionary_encode()
         size = np.where(cut.to_numpy(zero_copy_only=False), pc.subtract(pc.binary_length(each), pc.binary_length(bare)).to_numpy(), 0)
@@ -141,8 +184,9 @@ def _gather(flat: np.ndarray, at: np.ndarray, take: np.ndarray) -> tuple[np.ndar
     return flat[np.repeat(at[take] - begin[:-1], size) + np.arange(begin[-1])], begin
 
 
-def word_encoder(spec: str) -> Callable[[pa.Array], list[bytes]]:
-    return WordEncoder(spec).encode
+def text_encoder(spec: str) -> Callable[[pa.Array], list[bytes]]:
+    """By distinct words where the tokenizer file has their rules, else by whole texts; the ids are the same."""
+    return (WordEncoder if WordEncoder.fits(spec) else TextEncoder)(spec).encode
 
 
 def _in_steps(texts: pa.Array, rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.Array]:
@@ -270,4 +314,4 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, end_id: int = 2, *
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
     shared = documents.sparkSession.sparkContext.broadcast(spec)
-    return pack_tokens(documents, lambda: word_encoder(shared.value), end_id, **options)
+    return pack_tokens(documents, lambda: text_encoder(shared.value), end_id, **options)

@@ -3,10 +3,9 @@
 Distinct pre-tokens are laid out by length class as padded numpy matrices.  In
 every round each row merges its leftmost pair of least rank; pairs are looked up
 in an open-addressing hash table; rows without a pair leave the matrix, which is
-compacted.  Pre-tokens over ``LONG`` bytes are rows of their own that merge all
-occurrences of the least rank in a round.  That is the same result, because the
-rank of a merge exceeds the ranks of its parts; where a rank file breaks this
-(checked when the table is built) they too merge one pair a round.
+compacted.  A round costs a row its width, so a row of n bytes costs n squared;
+pre-tokens over ``LONG`` bytes (text without blanks, base64) are therefore merged
+in the same order, leftmost pair of least rank first, through a heap in n log n.
 
 A null text is empty and has no ids.  Texts of any length are encoded whole.
 Repeated rows give repeated results and an empty table an empty one.  Only the
@@ -16,8 +15,10 @@ id and text columns are read.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from entwine.llm.common import task
 
 NO_PAIR = np.iinfo(np.int32).max
-#: Pre-tokens above this many bytes are merged row by row.
+#: Pre-tokens above this many bytes are merged through a heap.
 LONG = 512
 #: Bounds of the per-worker memo (entries) and of one encoding step (pre-tokens held).
 MEMO, STEP = 400_000, 400_000
@@ -48,8 +49,6 @@ class PairTable:
                     merged.append(rank)
         keys = np.array(left, np.uint64) << np.uint64(32) | np.array(right, np.uint64)
         ids = np.array(merged, np.int32)
-        many = {rank: len(token) > 1 for token, rank in ranks.items()}
-        self.monotone = all(m > max(a if many[a] else -1, b if many[b] else -1) for a, b, m in zip(left, right, merged, strict=True))
         bits = max(4, int(4 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys = np.full(1 << bits, np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -68,6 +67,15 @@ class PairTable:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * _GOLDEN) >> self.shift).astype(np.int64)
 
+    @functools.cached_property
+    def _known(self) -> dict[int, int]:
+        held = self.ids != NO_PAIR
+        return dict(zip(self.keys[held].tolist(), self.ids[held].tolist(), strict=True))
+
+    def pair(self, left: int, right: int) -> int:
+        """Rank of one pair."""
+        return self._known.get(left << 32 | right, NO_PAIR)
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of every pair, NO_PAIR where there is none or an id is negative."""
         shape = left.shape
@@ -99,21 +107,32 @@ class ByteBPE:
         self.memo: dict[str, bytes] = {}
 
     def _long(self, token: bytes) -> np.ndarray:
-        ids = self.first[np.frombuffer(token, np.uint8)]
-        while len(ids) > 1:
-            rank = self.table.ranks(ids[:-1], ids[1:])
-            least = rank.min()
-            if least == NO_PAIR:
-                break
-            at = np.flatnonzero(rank == least)
-            if self.table.monotone:
-                head = np.r_[True, np.diff(at) != 1]
-                at = at[(at - at[head][np.cumsum(head) - 1]) % 2 == 0]
-            else:
-                at = at[:1]
-            ids[at] = least
-            ids = np.delete(ids, at + 1)
-        return ids
+        """One row merged by a heap of (rank, place); a merge touches two neighbouring pairs, so it takes n log n."""
+        ids = self.first[np.frombuffer(token, np.uint8)].tolist()
+        ranks = self.table.ranks(np.array(ids[:-1]), np.array(ids[1:]))
+        known = np.flatnonzero(ranks != NO_PAIR)
+        heap = list(zip(ranks[known].tolist(), known.tolist(), strict=True))
+        heapify(heap)
+        pair = self.table.pair
+        rank = ranks.tolist() + [NO_PAIR]  # of the pair that begins at each place
+        after, before = [*range(1, len(ids)), -1], list(range(-1, len(ids) - 1))
+        while heap:
+            least, at = heappop(heap)
+            if rank[at] != least:
+                continue  # the pair has changed
+            gone = after[at]
+            ids[at], rank[gone], ids[gone] = least, NO_PAIR, -1
+            after[at] = after[gone]
+            if after[at] >= 0:
+                before[after[at]] = at
+            for place in (before[at], at):
+                if place < 0:
+                    continue
+                rank[place] = pair(ids[place], ids[after[place]]) if after[place] >= 0 else NO_PAIR
+                if rank[place] != NO_PAIR:
+                    heappush(heap, (rank[place], place))
+        left = np.array(ids, np.int32)
+        return left[left >= 0]
 
     def _rounds(self, tokens: list[bytes]) -> list[np.ndarray]:
         """Merge a class of tokens of similar length; returns their ids in order."""

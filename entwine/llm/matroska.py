@@ -23,17 +23,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from entwine.llm.common import Scratch, task
 
 FRAME = 192  # samples of a packet; one millisecond at RATE
 RATE = 192_000.0
+FRAME_NS = 1_000_000
 BLOCK_FRAMES, CLUSTER_BLOCKS = 8, 32
 
 # Fixed values of the format: element ids.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID = 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86
 AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
+DEFAULT_DURATION, BLOCK_DURATION = 0x23E383, 0x9B
 SCALE, DURATION, MUXING_APP, WRITING_APP = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER, CUE_RELATIVE = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1, 0xF0
@@ -83,7 +86,7 @@ def lace(frames: list[bytes], lacing: int) -> bytes:
 _HEAD = element(EBML, unsigned(0x4286, 1) + unsigned(0x42F7, 1) + unsigned(0x42F2, 4) + unsigned(0x42F3, 8) + element(0x4282, b"matroska") + unsigned(0x4287, 4) + unsigned(0x4285, 2))
 _TRACKS = element(
     TRACKS,
-    element(TRACK_ENTRY, unsigned(TRACK_NUMBER, 1) + unsigned(TRACK_UID, 1) + unsigned(TRACK_TYPE, 2) + unsigned(FLAG_LACING, 1) + element(CODEC_ID, b"A_PCM/INT/LIT") + element(AUDIO, real(SAMPLING, RATE) + unsigned(CHANNELS, 1) + unsigned(BIT_DEPTH, 8))),
+    element(TRACK_ENTRY, unsigned(TRACK_NUMBER, 1) + unsigned(TRACK_UID, 1) + unsigned(TRACK_TYPE, 2) + unsigned(FLAG_LACING, 1) + unsigned(DEFAULT_DURATION, FRAME_NS) + element(CODEC_ID, b"A_PCM/INT/LIT") + element(AUDIO, real(SAMPLING, RATE) + unsigned(CHANNELS, 1) + unsigned(BIT_DEPTH, 8))),
 )
 
 
@@ -127,7 +130,7 @@ def read_size(data: bytes, at: int) -> tuple[int, int]:
 
 @dataclass
 class Media:
-    """What ``demux`` found; packets hold (track, timestamp, key, lacing, cluster, offset, size)."""
+    """What ``demux`` found; packets hold (track, time in nanoseconds, key, lacing, cluster, offset, size)."""
 
     scale: int = 1_000_000
     duration: float = 0.0
@@ -157,7 +160,8 @@ def _float(data: bytes, at: int, end: int) -> float:
     return struct.unpack(">f" if end - at == 4 else ">d", data[at:end])[0] if end > at else 0.0
 
 
-def _block(data: bytes, at: int, end: int, base: int, key: bool | None, cluster: int, out: list) -> None:
+def _block(data: bytes, at: int, end: int, base: int, key: bool | None, cluster: int, span: int | None, out: list) -> None:
+    """Frames of a block as (track, ticks, frame number, frames, ticks of the whole block or None, key, lacing, cluster, offset, size)."""
     track, p = read_size(data, at)
     if p + 3 > end:
         raise ValueError("a block ends in its header")
@@ -166,7 +170,7 @@ def _block(data: bytes, at: int, end: int, base: int, key: bool | None, cluster:
     lacing = flags >> 1 & 3
     key = bool(flags & 0x80) if key is None else key
     if lacing == NO_LACING:
-        out.append((track, base + when, key, lacing, cluster, p, end - p))
+        out.append((track, base + when, 0, 1, span, key, lacing, cluster, p, end - p))
         return
     n, p = data[p] + 1, p + 1
     if lacing == FIXED:
@@ -190,11 +194,24 @@ def _block(data: bytes, at: int, end: int, base: int, key: bool | None, cluster:
         sizes.append(end - p - sum(sizes))
         if min(sizes) < 0:
             raise ValueError("laced frames are longer than their block")
-    for size in sizes:
-        out.append((track, base + when, key, lacing, cluster, p, size))
+    for i, size in enumerate(sizes):
+        out.append((track, base + when, i, n, span, key, lacing, cluster, p, size))
         p += size
 
 
+def _timed(m: Media, frames: list) -> list[tuple[int, int, bool, int, int, int, int]]:
+    """Packets in nanoseconds.  A laced frame follows its forerunner by the track's default duration, else by its share of the block's.
+
+    Where neither is known the frames of a block share its time.
+    """
+    known = {t.get("number"): t["frame_ns"] for t in m.tracks if t.get("frame_ns")}
+    out = []
+    for track, ticks, i, n, span, *rest in frames:
+        step = known.get(track) or (span * m.scale // n if span is not None else 0)
+        out.append((track, ticks * m.scale + i * step, *rest))
+    return out
+
+
 def _track(data: bytes, at: int, end: int) -> dict:
     got: dict = {}
     for id_, a, e in _children(data, at, end):
@@ -204,6 +221,8 @@ def _track(data: bytes, at: int, end: int) -> dict:
             got["type"] = _uint(data, a, e)
         elif id_ == CODEC_ID:
             got["codec"] = data[a:e].decode()
+        elif id_ == DEFAULT_DURATION:
+            got["frame_ns"] = _uint(data, a, e)
         elif id_ == AUDIO:
             for i, x, y in _children(data, a, e):
                 if i == SAMPLING:
@@ -226,8 +245,8 @@ def _cue(data: bytes, at: int, end: int, out: list) -> None:
 
 
 def demux(data: bytes) -> Media:
-    """Parse a Matroska file; frames of one block share its timestamp."""
-    m = Media()
+    """Parse a Matroska file."""
+    m, frames = Media(), []
     at = 0
     id_, body = read_id(data, at)
     if id_ != EBML:
@@ -260,12 +279,13 @@ def demux(data: bytes) -> Media:
                 if i == TIMESTAMP:
                     base = _uint(data, body, e)
                 elif i == SIMPLE_BLOCK:
-                    _block(data, body, e, base, None, start, m.packets)
+                    _block(data, body, e, base, None, start, None, frames)
                 elif i == BLOCK_GROUP:
                     inner = list(_children(data, body, e))
+                    span = next((_uint(data, x, y) for j, x, y in inner if j == BLOCK_DURATION), None)
                     for j, x, y in inner:
                         if j == BLOCK:
-                            _block(data, x, y, base, all(k != REFERENCE for k, _, _ in inner), start, m.packets)
+                            _block(data, x, y, base, all(k != REFERENCE for k, _, _ in inner), start, span, frames)
                 at = e
             continue
         if size < 0:
@@ -283,6 +303,7 @@ def demux(data: bytes) -> Media:
                 if i == CUE_POINT:
                     _cue(data, a, e, m.cues)
         at = stop
+    m.packets = _timed(m, frames)
     return m
 
 
@@ -299,21 +320,75 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([n for n, _ in rows], pa.int64()), pa.array([mux(p) for _, p in rows], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
-def feature(m: Media, payload: bytes) -> str:
-    """Counts of the packet table and whole-number statistics of the samples."""
+_PACKET = pa.struct([("track", pa.int64()), ("timestamp_ns", pa.int64()), ("key", pa.bool_()), ("lacing", pa.int32()), ("cluster_offset", pa.int64()), ("offset", pa.int64()), ("size", pa.int64())])
+_CUE = pa.struct([("timestamp_ns", pa.int64()), ("track", pa.int64()), ("cluster_offset", pa.int64()), ("found", pa.bool_())])
+_PARSED = "packets array<struct<track:long,timestamp_ns:long,key:boolean,lacing:int,cluster_offset:long,offset:long,size:long>>, cues array<struct<timestamp_ns:long,track:long,cluster_offset:long,found:boolean>>"
+
+
+def _listed(rows: list[list[tuple]], of: pa.StructType) -> pa.Array:
+    flat = list(zip(*(r for part in rows for r in part), strict=True)) or [[]] * of.num_fields
+    items = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(flat, of, strict=True)], fields=list(of))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), items)
+
+
+def _parse(media_at: int, names: list[str]):
+    """Rows with a file to the same rows with its packets and cues; a null file has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 256):
+                part = b.slice(s, 256)
+                packets, cues = [], []
+                for blob in part.column(media_at):
+                    m = Media() if not blob.is_valid else demux(blob.as_py())
+                    starts = set(m.clusters)
+                    packets.append(m.packets)
+                    cues.append([(t * m.scale, track, m.segment + c, m.segment + c in starts) for t, track, c, _ in m.cues])
+                yield pa.RecordBatch.from_arrays([*part.columns, _listed(packets, _PACKET), _listed(cues, _CUE)], names=names)
+
+    return run
+
+
+def parse_media(media: DataFrame, media_col: str = "media") -> DataFrame:
+    """``media`` with two more columns: ``packets`` (track, time, key flag, lacing, cluster, byte range) and ``cues``."""
+    schema = StructType([*media.schema.fields, *StructType.fromDDL(_PARSED).fields])
+    return media.mapInArrow(task(_parse(media.columns.index(media_col), schema.fieldNames())), schema)
+
+
+def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """One row per packet: track, timestamp_ns, key, lacing, cluster_offset, offset, size; a null file has none."""
+    rows = media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).cast("binary").alias("media"))
+    return parse_media(rows).select("doc_id", F.inline("packets"))
+
+
+def feature(times: np.ndarray, clusters: np.ndarray, cues: list[bool], payload: bytes) -> str:
+    """Counts and times of a file's packets and whole-number statistics of its samples."""
     x = np.frombuffer(payload, np.uint8).astype(np.int64)
-    ok = all(m.segment + c in set(m.clusters) for _, _, c, _ in m.cues)
-    return f"packets={len(m.packets)};clusters={len(m.clusters)};cues={len(m.cues)};cues_ok={int(ok)};ms={int(m.duration)};sum={int(x.sum())};energy={int((x * x).sum())};steps={int(np.abs(np.diff(x)).sum())};peak={int(x.max())}"
+    even = bool((np.diff(times) == FRAME_NS).all())
+    return (
+        f"packets={len(times)};clusters={len(np.unique(clusters))};cues={len(cues)};cues_ok={int(all(cues))};ms={(int(times[-1]) + FRAME_NS) // 1_000_000};even={int(even)};"
+        f"sum={int(x.sum())};energy={int((x * x).sum())};steps={int(np.abs(np.diff(x)).sum())};peak={int(x.max())}"
+    )
+
+
+def _fields(column: pa.ListArray, *names: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(where each row's items begin, the items' fields) of a column of struct lists."""
+    at, items = column.offsets.to_numpy(), column.flatten()
+    return at - at[0], [items.field(n).to_numpy(zero_copy_only=False) for n in names]
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_bytes, media, packets, cues) to features; the payload is read by the packets' byte ranges."""
     for b in batches:
         rows = []
-        for media in b.column(2):
-            data = media.as_py()
-            m = demux(data)
-            payload = b"".join([data[o : o + n] for *_, o, n in m.packets])
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(m, payload)))
+        at, (times, clusters, offsets, sizes) = _fields(b.column(3), "timestamp_ns", "cluster_offset", "offset", "size")
+        cue_at, (found,) = _fields(b.column(4), "found")
+        ranges = list(zip(offsets.tolist(), (offsets + sizes).tolist(), strict=True))
+        for i, media in enumerate(b.column(2)):
+            data, p, z = media.as_py(), int(at[i]), int(at[i + 1])
+            payload = b"".join([data[x:y] for x, y in ranges[p:z]])
+            said = feature(times[p:z], clusters[p:z], found[cue_at[i] : cue_at[i + 1]].tolist(), payload)
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), said))
         cols = list(zip(*rows, strict=True)) or [[]] * 6
         types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
@@ -325,23 +400,8 @@ def store_media(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return rows.mapInArrow(task(_store), "doc_id long, n_bytes long, media binary")
 
 
-def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row per packet: track, timestamp_ns, key, lacing, cluster_offset, offset, size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                m = demux(blob.as_py())
-                cols = list(zip(*((doc, t, w * m.scale, k, la, c, o, n) for t, w, k, la, c, o, n in m.packets), strict=True)) or [[]] * 8
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "track", "timestamp_ns", "key", "lacing", "cluster_offset", "offset", "size"])
-
-    rows = media.where(F.col(media_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media"))
-    return rows.mapInArrow(task(run), "doc_id long, track long, timestamp_ns long, key boolean, lacing int, cluster_offset long, offset long, size long")
-
-
 def media_features(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every text as media in the scratch folder, read it back and describe it."""
+    """Store every text as media in the scratch folder, read it back, parse it to its packet table and describe it through that."""
     scratch = Scratch(documents.sparkSession, "matroska")
     stored = scratch.put("media", store_media(documents, id_col, text_col), compression="zstd")
-    return stored.mapInArrow(task(_features), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return parse_media(stored).mapInArrow(task(_features), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -6,11 +6,12 @@ texts have ended, so equality is decided by the bytes and never by a digest.
 1. Every Arrow batch is split locally.  Copies inside a batch collapse to one
    row, so a text that makes up a third of the corpus reaches the shuffle once
    a batch, not once a row.
-2. The surviving texts are dealt by their leading bytes.  Prefixes that would
-   overfill a task are extended (8, 16, 32, ... bytes) until they fit.  Their
-   number is at most ``4 * partitions`` a level, whatever the corpus.
-3. Prefixes that stay too heavy at the longest width are first split by a salt,
-   collapsed, and then meet again in a second round.
+2. The surviving texts are dealt by their leading bytes.  Prefixes with over
+   ``HOT_BYTES`` of texts are extended (8, 32, 128, ... bytes) until they hold
+   less or are whole texts.  They are a table that is joined, never a list of
+   the driver's, and only the texts below them are counted again.
+3. A hot prefix that is a whole text needs no further byte: its rows are equal,
+   and their partial sums meet in an aggregation.
 4. Every task splits its bucket by successive bytes to the end.
 
 Nulls count as empty texts and all empty texts are equal.  A null id is lower
@@ -26,13 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entwine.llm.common import Scratch, byte_view, lower_ascii, partitions_for, task
+from entwine.llm.common import Scratch, byte_view, free_names, lower_ascii, partitions_for, task
 
 #: Cells of a comparison window; bounds the memory of one radix pass.
 WINDOW_CELLS = 1 << 22
+#: Bytes of the first prefix; bytes of texts that make a prefix hot.
+FIRST_BYTES, HOT_BYTES = 8, 1 << 19
 
 
 def radix_groups(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -136,22 +139,49 @@ def _split_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from out.to_batches(max_chunksize=20_000)
 
 
-def _heavy_prefixes(reps: DataFrame, limit: int, parts: int) -> tuple[list[tuple[int, list]], int]:
-    """Levels (width, prefixes over the limit); a level has at most total / limit of them."""
-    levels, at, width = [], reps, 8
+def _leading(width: int) -> Column:
+    """Where a text is dealt by its first ``width`` bytes; texts that end there are apart from those that go on."""
+    return F.xxhash64(F.substring("text", 1, width), F.length("text") > width)
+
+
+def hot_prefixes(reps: DataFrame, scratch: Scratch, limit: int) -> list[tuple[int, DataFrame]]:
+    """Levels (width, table of the places ``h`` of prefixes with over ``limit`` bytes of texts).
+
+    Only texts below a hot prefix that goes on are counted at the next level, by
+    four times the bytes; the last level's hot prefixes are whole texts.
+    """
+    levels: list[tuple[int, DataFrame]] = []
+    at, width = reps, FIRST_BYTES
     while True:
-        counts = at.groupBy(F.substring("text", 1, width).alias("k")).agg(F.sum(F.length("text") + 64).alias("b"))
-        found = [bytes(r.k) for r in counts.where(F.col("b") > limit).collect()]
-        levels.append((width, found))
-        if not found or 2 * width * len(found) > (64 << 20):
-            return levels, width
-        at = at.where(F.substring("text", 1, width).isin([F.lit(bytearray(x)) for x in found]))
-        if at.where(F.length("text") > width).isEmpty():
-            return levels, width
-        width *= 2
-
-
-def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = 32 << 20, salts: int = 16) -> DataFrame:
+        sizes = at.groupBy(_leading(width).alias("h"), (F.length("text") > width).alias("goes_on")).agg(F.sum(F.length("text") + 64).alias("b"))
+        hot = scratch.put(f"hot-{len(levels)}", sizes.where(F.col("b") > limit).select("h", "goes_on"))
+        if hot.isEmpty():
+            return levels
+        levels.append((width, hot.select("h").distinct()))
+        below = hot.where("goes_on").select("h").distinct()
+        if below.isEmpty():
+            return levels
+        at = reps.withColumn("h", _leading(width)).join(below, "h", "left_semi").where(F.length("text") > width)
+        width *= 4
+
+
+def _dealt(reps: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
+    """``reps`` with ``radix``, the place of the shortest prefix that is not hot, and ``whole``: the text itself is a hot prefix.
+
+    Both depend on the text alone, so equal texts always meet.
+    """
+    size, radix, whole, below = F.length("text"), F.lit(None).cast("long"), F.lit(False), F.lit(True)
+    for i, (width, hot) in enumerate(levels):
+        reps = reps.withColumn(f"h{i}", _leading(width)).join(hot.select(F.col("h").alias(f"h{i}"), F.lit(True).alias(f"f{i}")), f"h{i}", "left")
+        is_hot = F.col(f"f{i}").isNotNull()
+        radix = F.when(below & ~is_hot, F.xxhash64(F.lit(i), f"h{i}")).otherwise(radix)
+        whole = whole | (below & is_hot & (size <= width))
+        below = below & is_hot & (size > width)
+    last = _leading(FIRST_BYTES * 4 ** len(levels))
+    return reps.withColumn("radix", F.when(below, F.xxhash64(F.lit(len(levels)), last)).otherwise(radix)).withColumn("whole", whole)
+
+
+def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = 32 << 20, limit: int = HOT_BYTES) -> DataFrame:
     """Group the rows by their text with A-Z lower-cased.
 
     Returns one row per input row: ``doc_id``, ``keep_id`` (largest id of the
@@ -165,28 +195,17 @@ def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     reps = local.where(F.col("text").isNotNull()).select("uid", "doc_id", "copies", "text", "sha")
     total = reps.agg(F.sum(F.length("text") + 64)).first()[0] or 0
     parts = partitions_for(spark, total, task_bytes)
-    levels, last = _heavy_prefixes(reps, max(1 << 20, total // (4 * parts)), parts)
-    key, hot = F.substring("text", 1, last), F.lit(False)
-    for width, found in reversed(levels):
-        prefix = F.substring("text", 1, width)
-        heavy = prefix.isin([F.lit(bytearray(x)) for x in found]) if found else F.lit(False)
-        hot = heavy if width == last else hot
-        key = prefix if width == last else F.when(heavy, key).otherwise(prefix)
-    hot_at_last = bool(levels[-1][1])
-    keyed = reps.withColumn("radix", key)
+    levels = hot_prefixes(reps, scratch, limit)
     slim = ("uid", "doc_id", "copies", "text", "sha")
-    if not hot_at_last:
-        groups = keyed.repartition(parts, "radix").select(*slim).mapInArrow(task(_split_bucket), _GROUP)
-    else:
-        salted = keyed.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("uid"), F.lit(salts))).otherwise(F.lit(0)))
-        first = scratch.put("first", salted.repartition(parts, "radix", "salt").select(*slim).mapInArrow(task(_split_bucket), _GROUP))
-        alive = first.where(F.col("uid") == F.col("keep_uid")).select("uid", F.col("group_size").alias("total"))
-        again = keyed.where(hot).join(alive, "uid").withColumn("copies", F.col("total"))
-        second = again.repartition(parts, "radix").select(*slim).mapInArrow(task(_split_bucket), _GROUP)
-        second = second.select(F.col("uid").alias("mid"), *[F.col(c).alias(f"{c}2") for c in ("keep_uid", "keep_id", "group_size")])
-        met = first.join(second, first.keep_uid == second.mid, "left")
-        last_of = lambda c: F.when(F.col("mid").isNull(), F.col(c)).otherwise(F.col(f"{c}2")).alias(c)
-        groups = met.select("uid", last_of("keep_uid"), last_of("keep_id"), last_of("group_size"), "sha")
+    dealt = _dealt(reps, levels)
+    groups = dealt.where("not whole").repartition(parts, "radix").select(*slim).mapInArrow(task(_split_bucket), _GROUP)
+    if levels:
+        # a hot prefix that is a whole text: its rows are equal already, and their partial sums meet
+        same = dealt.where("whole").select(*slim)
+        best = F.max(F.struct(F.coalesce("doc_id", F.lit(int(_LOWEST))).alias("doc"), "uid"))
+        sums = same.groupBy("text").agg(F.sum("copies").alias("group_size"), best.alias("best"))
+        sums = sums.select("text", F.col("best.uid").alias("keep_uid"), F.nullif(F.col("best.doc"), F.lit(int(_LOWEST))).alias("keep_id"), "group_size")
+        groups = groups.unionByName(same.join(sums, "text").select("uid", "keep_uid", "keep_id", "group_size", "sha"))
     members = local.select(F.col("uid").alias("row_uid"), "doc_id", "rep")
     return members.join(groups, members.rep == groups.uid).select(
         "doc_id", "keep_id", "group_size", (F.col("row_uid") == F.col("keep_uid")).alias("kept"), F.col("sha").alias("text_sha256")
@@ -194,6 +213,17 @@ def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def drop_exact_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``documents`` that stay, with all their columns (ids unique or repeated together)."""
-    kept = exact_groups(documents, id_col, text_col).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return documents.join(kept, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    """One row of each group, with all its columns, whatever their names.
+
+    It is the row of the group's largest id.  Where several rows of a group have
+    that id any one of them stays.
+    """
+    columns = documents.columns
+    sha, held, keep, of = free_names(columns, "sha", "held", "keep", "of")
+    groups = exact_groups(documents, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    stay = groups.groupBy(F.col("doc_id").alias(keep), F.col("text_sha256").alias(of)).agg(F.count("*").alias(held))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    named = documents.withColumn(sha, F.sha2(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), upper, upper.lower()).cast("binary"), 256))
+    met = named.join(stay, (F.col(sha) == F.col(of)) & F.col(id_col).cast("long").eqNullSafe(F.col(keep)))
+    often = met.where(F.col(held) > 1).dropDuplicates([keep, of])
+    return met.where(F.col(held) == 1).unionByName(often).select(*(F.col(f"`{c}`") for c in columns))

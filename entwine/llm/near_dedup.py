@@ -4,21 +4,28 @@ A document is the set of its distinct five-word shingles (words are runs without
 ASCII white space, A-Z lower-cased; a shorter text is one shingle).  Two
 documents are linked if 100 * intersection >= 75 * union.
 
-1. One scan hashes every shingle once and keeps the ``K`` least hashes (the
-   sketch), the set size and a digest of the whole set.  Equal sets collapse to
-   one node by aggregation, so copies never meet in one task.
+1. One scan hashes every distinct word by BLAKE2b and every shingle by one mix of
+   its words' hashes, and keeps the ``K`` least (the sketch), the set size and a
+   digest of the whole set.  Equal sets collapse to one node by aggregation, so
+   copies never meet in one task.
 2. Inverted lists: a node lists itself under its least retained values.  Values
-   in over ``limit`` sketches are hot.  A node with few hot values lists cool
-   ones only, so its lists are short; a node with many (a member of a large
-   family) also lists under hot ones.  Of lists with the same members one stays.
+   in over ``LIMIT`` sketches are hot; they are a table that is joined.  A node
+   lists cool values only, the more of them the more of its values are hot, and
+   all of them from ``SOME_HOT`` on; a node whose values are mostly hot (a member
+   of a large family) also lists under hot ones.  Of lists with the same members
+   one stays.
 3. Within a list the union-sketch estimate selects pairs at ``MARGIN`` below the
    threshold, six standard deviations.  A list emits only who is connected, one
-   row a member.  Long lists are dealt in blocks, so no task holds a whole one.
+   row a member.
 4. The candidate families are the components of that graph; no link crosses two
    of them.  Full sets are fetched for members of families only, and exact
-   Jaccard verifies within the family.  Families over ``BLOCK`` members are
-   first verified in blocks with shared pivots; then whatever is not in the
-   family's largest verified component is held against every member in blocks.
+   Jaccard verifies within the family.
+
+Lists and families are groups that are worked on alike.  A group of over ``BLOCK``
+rows or ``BLOCK_BYTES`` is first dealt in blocks, each with the group's ``PIVOTS``
+pivots, at a cost linear in the group.  Then whatever is not in the group's
+largest component is held against every member in pairs of blocks, so that no
+pair of different components goes unseen.  No task holds a whole large group.
 
 Chance of losing a link: a pair at the threshold shares none of its indexed
 values with probability below 1e-7, and its estimate falls below the margin with
@@ -37,67 +44,49 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entwine.llm.common import Scratch, byte_view, lower_ascii, mix64, task
+from entwine.llm.common import Scratch, byte_view, free_names, lower_ascii, mix64, task
 from entwine.llm.components import connected_components
 
 WORDS, PERCENT = 5, 75
 K = 64
 #: Values listed by a node: without hot values, with some, and hot ones of a mostly hot node.
-LIST_COOL, LIST_MIXED, LIST_HOT, HOT_SHARE = 12, 24, 16, 16
+LIST_COOL, LIST_MIXED, LIST_HOT = 12, 24, 16
+#: Hot values of 64 from which all cool ones are listed, and from which hot ones are.
+SOME_HOT, MOSTLY_HOT = 16, 32
 #: Least estimate of a candidate pair.
 MARGIN = 0.425
-#: Rows of a block of a list or family; pivots of a large family.
-BLOCK, PIVOTS = 1024, 32
-#: Least sketches that make a value hot; the hot values kept in memory are at most K * nodes / limit.
-LIMIT, HOT_MEMORY = 256, 1 << 22
-_CHUNK = 1 << 21
+#: Rows and bytes of a block of a list or family; pivots of a large one.
+BLOCK, BLOCK_BYTES, PIVOTS = 1024, 32 << 20, 32
+#: Least sketches that make a value hot.
+LIMIT = 256
+#: Lists of up to this many rows are estimated many at a time.
+_SHORT = 64
+#: Bound of a worker's memo of word hashes.
+MEMO = 400_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_P, _P_INV = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
-
-
-def _is_space() -> np.ndarray:
-    t = np.zeros(256, bool)
-    t[[9, 10, 11, 12, 13, 32]] = True
-    return t
-
-
-_SPACE = _is_space()
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-_BYTE[_SPACE] = 0
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, _CHUNK + 4096)
-        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(n - 1, np.uint64(x))]) for x in (_P, _P_INV)]
-    return _powers[0], _powers[1]
+_memo: dict[bytes, int] = {}
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, number of words of each text); works through the bytes in pieces that end at a word."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
-    word = ~_SPACE[data]
-    begin = word.copy()
-    begin[1:] &= ~word[:-1]
-    edge = offsets[1:-1]
-    edge = edge[edge < len(data)]
-    begin[edge] = word[edge]
-    starts = np.flatnonzero(begin)
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + _CHUNK)))
-        a, b = starts[i], starts[j] if j < len(starts) else len(data)
-        power, inverse = _power_tables(int(b - a))
-        at = starts[i:j] - a
-        out[i:j] = np.add.reduceat(_BYTE[data[a:b]] * power[: b - a], at) * inverse[at]
-        i = j
-    return mix64(out), np.diff(np.searchsorted(starts, offsets))
+    """(hash of every word, number of words of each text); words are runs without ASCII white space."""
+    texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+    lists = pc.ascii_split_whitespace(texts)
+    words = lists.flatten().dictionary_encode()
+    each = words.dictionary.cast(pa.large_binary()).to_pylist()
+    if len(_memo) > MEMO:
+        _memo.clear()
+    new = [w for w in each if w not in _memo]
+    _memo.update(zip(new, np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in new]), np.uint64).tolist(), strict=True))
+    known = np.fromiter(map(_memo.__getitem__, each), np.uint64, len(each))
+    full = np.array([len(w) > 0 for w in each], bool)  # white space at an end leaves an empty word
+    at = words.indices.to_numpy()
+    is_word = full[at]
+    ends = np.r_[0, np.cumsum(is_word)]
+    return known[at[is_word]], np.diff(ends[lists.offsets.to_numpy()])
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
@@ -145,36 +134,35 @@ def _sketches(words: int):
 
 
 def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, sketch) to (value, node)."""
     for b in batches:
-        data, _ = byte_view(b.column(0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), np.int64))], names=["value"])
+        data, off = byte_view(b.column(1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), np.diff(off) // 8))], names=["value", "node"])
 
 
-def _postings(hot):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = hot.value
-        for b in batches:
-            value, kind, node = [], [], []
-            for n, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                v = np.frombuffer(blob, np.int64)
-                is_hot = np.isin(v, known) if len(known) else np.zeros(len(v), bool)
-                many = int(is_hot.sum())
-                cool = v[~is_hot][: LIST_MIXED if many else LIST_COOL]
-                warm = v[is_hot][:LIST_HOT] if many * K > HOT_SHARE * len(v) else v[:0]
-                value += [cool, warm]
-                kind += [np.zeros(len(cool), np.int32), np.ones(len(warm), np.int32)]
-                node.append(np.full(len(cool) + len(warm), n, np.int64))
-            cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-            yield pa.RecordBatch.from_arrays([pa.array(cat(value, np.int64)), pa.array(cat(kind, np.int32)), pa.array(cat(node, np.int64))], names=["value", "kind", "node"])
-
-    return run
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, sketch, its hot values in order or null) to the lists it enters."""
+    for b in batches:
+        value, node = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, blob, hot in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            v = np.frombuffer(blob, np.int64)
+            if not hot:
+                chosen = v[:LIST_COOL]
+            else:
+                h = np.array(hot, np.int64)
+                is_hot = h[np.minimum(np.searchsorted(h, v), len(h) - 1)] == v
+                some, most = (len(h) * K > share * len(v) for share in (SOME_HOT, MOSTLY_HOT))
+                chosen = np.concatenate([v[~is_hot][: None if some else LIST_MIXED], v[is_hot][: LIST_HOT if most else 0]])
+            value.append(chosen)
+            node.append(np.full(len(chosen), n, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(value)), pa.array(np.concatenate(node))], names=["value", "node"])
 
 
 def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sketches by the upper halves of their values, which keep the order."""
     for b in batches:
         upper = [(np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(upper, pa.binary())], names=["node", "sketch"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(upper, pa.binary())], names=["node", "body"])
 
 
 def union_estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -205,6 +193,11 @@ class Forest:
         if i != j:
             self.up[max(i, j)] = min(i, j)
 
+    def join_equal(self, labels: list) -> None:
+        first: dict = {}
+        for i, x in enumerate(labels):
+            self.join(first.setdefault(x, i), i)
+
     def stars(self) -> list[tuple[int, int]]:
         return [(self.root(i), i) for i in range(len(self.up)) if self.root(i) != i]
 
@@ -272,9 +265,34 @@ def _edge_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
 
 
-def _connect_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (value, kind, bi, bj, node, sketch) to who is connected in each list."""
-    small: list[tuple[np.ndarray, np.ndarray]] = []
+def _estimated(rows: np.ndarray, n: np.ndarray, left: np.ndarray, forest: Forest) -> None:
+    """Join rows by the estimate: rows ``left`` against all, each row reached once.
+
+    A union's least values that both sketches hold are shared values, so a count
+    of these rules pairs out first.
+    """
+    live = np.arange(K) < n[:, None]
+    counts = _shared_counts(rows[live], np.repeat(np.arange(len(n)), n), len(n), left)
+    may = np.zeros((len(n), len(n)), bool)
+    may[left] = counts >= MARGIN * np.maximum(n[left][:, None], n[None, :])
+    may |= may.T
+    todo = np.ones(len(n), bool)
+    for i in range(len(n)):
+        front = [i] if todo[i] else []
+        todo[i] = False
+        while front:
+            at = front.pop()
+            near = np.flatnonzero(may[at] & todo)
+            near = near[union_estimate(np.broadcast_to(rows[at], (len(near), K)), rows[near]) >= MARGIN]
+            todo[near] = False
+            for j in near.tolist():
+                forest.join(i, j)
+                front.append(j)
+
+
+def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (family, bi, bj, part, seen, node, sketch) to who is connected by estimate in each list."""
+    short: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
     out: list[tuple[int, int]] = []
 
@@ -282,15 +300,15 @@ def _connect_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         """Estimate the pairs of many short lists at once."""
         nonlocal held
         left, right, lists = [], [], []
-        for number, (nodes, _) in enumerate(small):
+        for number, (nodes, _) in enumerate(short):
             i, j = np.triu_indices(len(nodes), 1)
             left.append(i)
             right.append(j)
             lists.append(np.full(len(i), number))
-        base = np.cumsum([0, *(len(n) for n, _ in small)])
+        base = np.cumsum([0, *(len(n) for n, _ in short)])
         which = np.concatenate(lists)
         i, j = np.concatenate(left) + base[which], np.concatenate(right) + base[which]
-        rows, nodes = np.concatenate([s for _, s in small]), np.concatenate([n for n, _ in small])
+        rows, nodes = np.concatenate([s for _, s in short]), np.concatenate([n for n, _ in short])
         forest = Forest(len(nodes))
         for s in range(0, len(i), 20_000):
             x, y = i[s : s + 20_000], j[s : s + 20_000]
@@ -298,30 +316,29 @@ def _connect_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for p, q in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
                 forest.join(p, q)
         out.extend((int(nodes[p]), int(nodes[q])) for p, q in forest.stars())
-        small.clear()
+        short.clear()
         held = 0
 
-    for _, _, _, _, node, sketch in _groups(batches, 4):
-        nodes = node.to_numpy()
+    for _, _, _, part, seen, node, sketch in _groups(batches, 3):
+        part, nodes = part.to_numpy(), node.to_numpy()
         raw = sketch.to_pylist()
         n = np.array([len(x) for x in raw]) // 4
         rows = np.full((len(raw), K), np.iinfo(np.uint32).max, np.uint32)
         rows[np.arange(K) < n[:, None]] = np.frombuffer(b"".join(raw), np.uint32)
-        if len(nodes) <= 64:
-            small.append((nodes, rows))
+        if len(nodes) <= _SHORT and not part.any():
+            short.append((nodes, rows))
             held += len(nodes) * len(nodes) // 2
             if held > 40_000:
                 settle()
         else:
-            live = np.arange(K) < n[:, None]
-            counts = _shared_counts(rows[live], np.repeat(np.arange(len(nodes)), n), len(nodes))
             forest = Forest(len(nodes))
-            _spread(counts >= MARGIN * np.maximum(n[:, None], n[None, :]), forest)
-            out.extend((int(nodes[p]), int(nodes[q])) for p, q in forest.stars())
+            forest.join_equal(seen.to_pylist())
+            _estimated(rows, n, np.flatnonzero(part < 2), forest)
+            out.extend((int(nodes[p]), int(nodes[q])) for p, q in forest.stars() if nodes[p] != nodes[q])
         if len(out) > 20_000:
             yield _edge_batch(out)
             out.clear()
-    if small:
+    if short:
         settle()
     yield _edge_batch(out)
 
@@ -335,13 +352,11 @@ def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for _, _, _, part, seen, node, sets in _groups(batches, 3):
-            part, seen, nodes = part.to_numpy(), seen.to_numpy(), node.to_numpy()
+            part, nodes = part.to_numpy(), node.to_numpy()
             rows = [np.frombuffer(x, np.uint64) for x in sets.to_pylist()]
             n = np.array([len(x) for x in rows])
             forest = Forest(len(rows))
-            first: dict[int, int] = {}
-            for i, x in enumerate(seen.tolist()):
-                forest.join(first.setdefault(x, i), i)
+            forest.join_equal(seen.to_pylist())
             if len(rows) <= 4:
                 for i in range(len(rows)):
                     for j in range(i + 1, len(rows)):
@@ -374,98 +389,84 @@ def _full_sets(words: int):
                 sets = shingle_sets(part.column(2), words)
                 same = [_digest(x) == d for x, d in zip(sets, part.column(3).to_pylist(), strict=True)]
                 mask = pa.array(same, pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask), pa.array([x.tobytes() for x, ok in zip(sets, same, strict=True) if ok], pa.binary())], names=["node", "family", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask), pa.array([x.tobytes() for x, ok in zip(sets, same, strict=True) if ok], pa.binary())], names=["node", "family", "body"])
 
     return run
 
 
-def _blocks(df: DataFrame, node: str, count: str) -> DataFrame:
-    """Deal each list or family of over BLOCK rows in pairs of blocks (bi, bj); every pair of rows meets in one."""
-    n = F.ceil(F.col(count) / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64(node), n).cast("int")
-    other = F.explode(F.sequence(F.lit(0), n - 1))
-    dealt = df.select("*", own.alias("own"), other.alias("other"))
-    return dealt.select("*", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj")).drop("own", "other")
-
-
-def _verified_links(families: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Edges of the exact components of every family; see the module text."""
-    spark = sets.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ("family", "bi", "bj", "part", "seen", "node", "shingles")
-    sizes = families.groupBy(F.col("label").alias("family")).agg(F.count("*").alias("size"))
-    large = scratch.put("large", sizes.where(F.col("size") > BLOCK))
+def _links(members: DataFrame, scratch: Scratch, name: str, check) -> DataFrame:
+    """Edges that connect what ``check`` links in each group of (family, node, body); see the module text."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ("family", "bi", "bj", "part", "seen", "node", "body")
+    blocks = lambda rows, size: F.greatest(F.ceil(rows / F.lit(BLOCK)), F.ceil(size / F.lit(BLOCK_BYTES))).cast("int")
+    large = members.groupBy("family").agg(F.count("*").alias("rows"), F.sum(F.length("body")).alias("size"))
+    large = scratch.put(f"{name}-large", large.select("family", blocks(F.col("rows"), F.col("size")).alias("blocks")).where("blocks > 1"))
+    sized = members.join(large, "family", "left")
+    own = F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0)).cast("int")
+    dealt = sized.select("family", own.alias("bi"), own.alias("bj"), F.lit(0).alias("part"), F.col("node").alias("seen"), "node", "body")
     if large.isEmpty():
-        one = sets.select("family", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("part"), F.col("node").alias("seen"), "node", "shingles")
-        dealt = one.repartition(parts, "family").sortWithinPartitions("family", "node")
-        return scratch.put("links", dealt.mapInArrow(task(_verify(percent)), _EDGES))
-    sized = scratch.put("sized", sets.join(large, "family", "left"))
-    n = F.ceil(F.col("size") / F.lit(BLOCK))
-    own = F.coalesce(F.pmod(F.xxhash64("node"), n), F.lit(0)).cast("int")
-    diagonal = sized.select("family", own.alias("bi"), own.alias("bj"), F.lit(0).alias("part"), F.col("node").alias("seen"), "node", "shingles")
-    # pivots: the PIVOTS least hashes of a large family, kept by partial aggregation
-    ranked = sized.where("size is not null").groupBy("family", "size").agg(F.min_by("node", F.xxhash64("node")).alias("x"), *[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(1, PIVOTS)])
-    pivots = ranked.select("family", "size", F.explode(F.array_distinct(F.array("x", *[f"p{i}" for i in range(1, PIVOTS)]))).alias("node"))
-    every = F.explode(F.sequence(F.lit(0), n.cast("int") - 1)).alias("bi")
-    shared = sized.drop("size").join(pivots, ["family", "node"]).select("family", every, "node", "shingles")
-    shared = shared.select("family", "bi", F.col("bi").alias("bj"), F.lit(1).alias("part"), F.col("node").alias("seen"), "node", "shingles")
-    dealt = diagonal.unionByName(shared).repartition(parts, "family", "bi").sortWithinPartitions("family", "bi", "bj", "node")
-    first = scratch.put("links-1", dealt.select(*order).mapInArrow(task(_verify(percent)), _EDGES))
-    # what the blocks and pivots left apart, against everything of its family
-    known = connected_components(first, scratch, "known")
-    inside = sized.where("size is not null").join(known, "node", "left").select("family", "size", "node", "shingles", F.coalesce("label", "node").alias("seen"))
-    inside = scratch.put("inside", inside)
-    weight = inside.groupBy("family", "seen").agg(F.count("*").alias("w"))
-    main = weight.groupBy("family").agg(F.max_by("seen", F.struct("w", "seen")).alias("main"), F.sum("w").alias("size"))
-    rest = inside.drop("size").join(main, "family").where("seen <> main")
-    rest_size = rest.groupBy("family").agg(F.count("*").alias("rest"))
-    rest_blocks = F.ceil(F.col("rest") / F.lit(BLOCK)).cast("int")
-    all_blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    rest = rest.join(rest_size, "family").select("family", F.pmod(F.xxhash64("node"), rest_blocks).cast("int").alias("bi"), F.explode(F.sequence(F.lit(0), all_blocks - 1)).alias("bj"), F.lit(1).alias("part"), "seen", "node", "shingles")
-    every = inside.join(rest_size, "family").select("family", F.explode(F.sequence(F.lit(0), rest_blocks - 1)).alias("bi"), F.pmod(F.xxhash64("node"), all_blocks).cast("int").alias("bj"), F.lit(2).alias("part"), "seen", "node", "shingles")
-    dealt = rest.unionByName(every).repartition(parts, "family", "bi", "bj").sortWithinPartitions("family", "bi", "bj", "node")
-    second = scratch.put("links-2", dealt.select(*order).mapInArrow(task(_verify(percent)), _EDGES))
+        dealt = dealt.repartition(parts, "family").sortWithinPartitions("family", "node")
+        return scratch.put(f"{name}-links", dealt.select(*order).mapInArrow(task(check), _EDGES))
+    inside = scratch.put(f"{name}-inside", sized.where("blocks is not null"))
+    # pivots: the PIVOTS least hashes of a large group, kept by partial aggregation
+    least = [F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(PIVOTS)]
+    pivots = inside.groupBy("family").agg(F.array_distinct(F.array(*least)).alias("pivots")).select("family", F.explode("pivots").alias("node"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("bi")
+    shared = inside.join(pivots, ["family", "node"]).select("family", every, "node", "body")
+    shared = shared.select("family", "bi", F.col("bi").alias("bj"), F.lit(1).alias("part"), F.col("node").alias("seen"), "node", "body")
+    dealt = dealt.unionByName(shared).repartition(parts, "family", "bi").sortWithinPartitions("family", "bi", "bj", "node")
+    first = scratch.put(f"{name}-links", dealt.select(*order).mapInArrow(task(check), _EDGES))
+    # what the blocks and pivots left apart, against everything of its group
+    known = connected_components(first, scratch, f"{name}-known")
+    inside = inside.join(known, "node", "left").select("family", "node", "body", F.coalesce("label", "node").alias("seen"))
+    weight = inside.groupBy("family", "seen").agg(F.count("*").alias("w"), F.sum(F.length("body")).alias("size"))
+    main = weight.groupBy("family").agg(F.max_by("seen", F.struct("w", "seen")).alias("main"), F.sum("w").alias("rows"), F.sum("size").alias("size"))
+    left = weight.join(main.select("family", "main"), "family").where("seen <> main").groupBy("family").agg(F.sum("w").alias("rest"), F.sum("size").alias("rest_size"))
+    plan = left.join(main, "family").select("family", "main", blocks(F.col("rest"), F.col("rest_size")).alias("m"), blocks(F.col("rows"), F.col("size")).alias("k"))
+    plan = scratch.put(f"{name}-plan", plan)
+    again = inside.join(plan, "family")
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    rest = again.where("seen <> main").select("family", place("m").alias("bi"), number("k").alias("bj"), F.lit(1).alias("part"), "seen", "node", "body")
+    all_ = again.select("family", number("m").alias("bi"), place("k").alias("bj"), F.lit(2).alias("part"), "seen", "node", "body")
+    dealt = rest.unionByName(all_).repartition(parts, "family", "bi", "bj").sortWithinPartitions("family", "bi", "bj", "node")
+    second = scratch.put(f"{name}-more", dealt.select(*order).mapInArrow(task(check), _EDGES))
+    scratch.drop(f"{name}-inside")
     return first.unionByName(second)
 
 
 def near_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, limit: int = LIMIT) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``."""
-    spark = documents.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    scratch = Scratch(spark, "near-dedup")
+    scratch = Scratch(documents.sparkSession, "near-dedup")
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = scratch.put("sketches", rows.mapInArrow(task(_sketches(words)), _SKETCH))
     named = docs.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     nodes = scratch.put("nodes", named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")))
-    total = nodes.count()
-    limit = max(limit, -(-K * total // HOT_MEMORY))
-    counts = nodes.select("sketch").mapInArrow(task(_values), "value long").groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") > limit)
-    hot = np.sort(np.array([r.value for r in counts.select("value").collect()], np.int64))  # at most HOT_MEMORY values, by the limit
-    shared = spark.sparkContext.broadcast(hot)
-    listed = scratch.put("postings", nodes.select("node", "sketch").mapInArrow(task(_postings(shared)), "value long, kind int, node long"))
-    lists = listed.groupBy("value", "kind").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("size > 1")
-    lists = lists.groupBy("size", "x", "y").agg(F.min(F.struct("value", "kind")).alias("v")).select("v.value", "v.kind", "size")
-    lists = scratch.put("lists", lists)
-    members = listed.join(lists, ["value", "kind"])
-    with_sketch = members.join(nodes.select("node", "sketch").mapInArrow(task(_narrow), "node long, sketch binary"), "node")
-    dealt = _blocks(with_sketch, "node", "size").select("value", "kind", "bi", "bj", "node", "sketch")
-    dealt = dealt.repartition(parts, "value", "kind", "bi", "bj").sortWithinPartitions("value", "kind", "bi", "bj", "node")
-    near = scratch.put("near", dealt.mapInArrow(task(_connect_lists), _EDGES))
+    values = nodes.select("node", "sketch").mapInArrow(task(_values), "value long, node long")
+    hot = scratch.put("hot", values.groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("value"))
+    of = values.join(hot, "value", "left_semi").groupBy("node").agg(F.array_sort(F.collect_list("value")).alias("hot"))  # at most K a node
+    listed = nodes.join(of, "node", "left").select("node", "sketch", "hot").mapInArrow(task(_postings), "value long, node long")
+    listed = scratch.put("postings", listed)
+    lists = listed.groupBy("value").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("size > 1")
+    lists = scratch.put("lists", lists.groupBy("size", "x", "y").agg(F.min("value").alias("value")).select("value"))
+    members = listed.join(lists, "value").withColumnRenamed("value", "family")
+    members = members.join(nodes.select("node", "sketch").mapInArrow(task(_narrow), "node long, body binary"), "node").select("family", "node", "body")
+    near = _links(scratch.put("members", members), scratch, "near", _connect)
     families = scratch.put("families", connected_components(near, scratch, "near"))
-    scratch.drop("postings", "lists")
+    scratch.drop("postings", "lists", "members")
     wanted = nodes.select("node", "digest").join(families, "node").select("node", F.col("label").alias("family"), "digest")
     texts = rows.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("doc_id").alias("node"), "family", "text", "digest")
-    sets = scratch.put("sets", texts.mapInArrow(task(_full_sets(words)), "node long, family long, shingles binary"))
-    links = _verified_links(families, sets, scratch, percent)
-    labels = connected_components(links, scratch, "linked")
+    sets = scratch.put("sets", texts.mapInArrow(task(_full_sets(words)), "node long, family long, body binary"))
+    labels = connected_components(_links(sets, scratch, "exact", _verify(percent)), scratch, "linked")
     named_nodes = scratch.put("named", nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component")))
-    scratch.drop("sets", "near")
+    scratch.drop("sets")
     out = docs.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("of")).join(named_nodes, F.col("of") == F.col("digest"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``documents`` that are the least id of their component, or have no id."""
-    gone = near_components(documents, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return documents.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """The rows of ``documents`` that are the least id of their component, or have no id, with all their columns, whatever their names."""
+    (gone_id,) = free_names(documents.columns, "gone")
+    gone = near_components(documents, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(gone_id))
+    return documents.join(gone, F.col(id_col) == F.col(gone_id), "left_anti")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from entwine.llm.common import Scratch, free_names, task
+from entwine.llm.common import Scratch, task
 
 KINDS = ("assign", "access", "hex", "vendor", "example", "live")
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -154,19 +154,18 @@ def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hidden = F.concat("spans", F.filter("added", lambda s: s["kind"] != example))
     hidden = F.filter(hidden, lambda h: ~F.exists(shown, lambda s: (s["start"] == h["at"]) & (s["end"] == h["end"])))
     at = columns.index(text_col)
-    (hide,) = free_names(columns, "hide")
-    flat = found.select(*(F.col("row").getField(c).alias(c) for c in columns), hidden.alias(hide))
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(at).to_pylist()
-            for i, spans in enumerate(b.column(len(columns)).to_pylist()):
+            held = b.column(0).flatten()
+            texts = held[at].to_pylist()
+            for i, spans in enumerate(b.column(1).to_pylist()):
                 if spans and texts[i]:
                     t = list(texts[i])
                     for s in spans:
                         t[s["start"] : s["end"]] = "*" * (s["end"] - s["start"])
                     texts[i] = "".join(t)
-            cols = [pa.array(texts, pa.string()) if j == at else b.column(j) for j in range(len(columns))]
-            yield pa.RecordBatch.from_arrays(cols, names=columns)
+            held[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(held, names=columns)
 
-    return flat.mapInArrow(task(star), documents.schema)
+    return found.select("row", hidden.alias("hidden")).mapInArrow(task(star), documents.schema)

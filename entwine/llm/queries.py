@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from entwine.llm import bpe, exact_dedup, matroska, near_dedup, packing, secrets, suffix_dedup, token_counts, toxicity, warc
 
@@ -49,7 +50,8 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents")).drop("spans")
+    found = suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents")).drop("spans")
+    return found.withColumns({"has_repeats": F.col("n_removed") > 0, "n_kept": F.col("n_bytes") - F.col("n_removed")})
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,11 @@ corpus (matches never cross texts).  Every such string contains the same least
 
 1. One scan finds each window's least gram.  Neighbouring windows with one gram
    form an item of less than two lengths, about two items per ``length`` bytes.
-   Only hashes and places of items are written.
-2. Grams that occur once end here.  If all items of a gram are equal, their
-   windows are repeated without further ado.  The others are mixed: equal items
-   collapse to one, and the bytes of that one are fetched.
+   Only hashes, digests and places of items are written.
+2. Grams that occur once end here.  If all items of a gram are equal by a
+   128-bit BLAKE2b digest of their bytes, their windows are repeated without
+   further ado.  The others are mixed: equal items collapse to one, and the bytes
+   of that one are fetched.
 3. A mixed gram with over ``GROUP`` items is split: its windows by halves of
    their distance to the gram, its items by the bytes all windows of a half
    share.  That is repeated, at most nine times, until groups are small, equal
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -45,16 +47,15 @@ GROUP, ORDER_BYTES = 2048, 2 << 20
 BUCKETS = 1 << 20
 _PIECE_BITS = 20
 _LOWEST = np.iinfo(np.int64).min
-_MULT = (0x5851F42D4C957F2D, 0x9E3779B97F4A7C15)
-_TABLE = [mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(m)) for m in (0x2545F4914F6CDD1D, 0xD1342543DE82EF95)]
-_powers: list[tuple[np.ndarray, np.ndarray]] = []
+_MULT = 0x5851F42D4C957F2D
+_TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+_powers: list[np.ndarray] = []
 
 
-def _power_tables() -> list[tuple[np.ndarray, np.ndarray]]:
+def _power_tables() -> list[np.ndarray]:
     if not _powers:
         n = (1 << _PIECE_BITS) + 1
-        for m in _MULT:
-            _powers.append(tuple(np.cumprod(np.r_[np.uint64(1), np.full(n - 1, np.uint64(x))]) for x in (m, pow(m, -1, 1 << 64))))
+        _powers.extend(np.cumprod(np.r_[np.uint64(1), np.full(n - 1, np.uint64(x))]) for x in (_MULT, pow(_MULT, -1, 1 << 64)))
     return _powers
 
 
@@ -72,20 +73,17 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def find_items(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Items of joined texts of at most 2**_PIECE_BITS bytes: text, first window, gram's place in it, windows, key, two digests."""
+    """Items of joined texts of at most 2**_PIECE_BITS bytes: text, first window, gram's place in it, windows, key, and the halves of the BLAKE2b digest of its bytes and shape."""
     size = np.diff(offsets)
     n, per = len(data), size - length + 1
     owner = np.repeat(np.arange(len(size)), np.maximum(per, 0))
     if not len(owner):
         e = np.zeros(0, np.int64)
         return e, e, e, e, e, e, e
-    sums = []
-    for (power, _), table in zip(_power_tables(), _TABLE, strict=True):
-        s = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[data] * power[:n], out=s[1:])
-        sums.append(s)
-    inverse = [t[1] for t in _power_tables()]
-    gram = mix64((sums[0][ANCHOR:] - sums[0][:-ANCHOR]) * inverse[0][: n - ANCHOR + 1])
+    power, inverse = _power_tables()
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_TABLE[data] * power[:n], out=sums[1:])
+    gram = mix64((sums[ANCHOR:] - sums[:-ANCHOR]) * inverse[: n - ANCHOR + 1])
     mask = np.uint64((1 << _PIECE_BITS) - 1)
     least = sliding_least((gram & ~mask) | np.arange(len(gram), dtype=np.uint64), length - ANCHOR + 1)
     first = np.cumsum(np.maximum(per, 0)) - np.maximum(per, 0)
@@ -96,9 +94,10 @@ def find_items(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> t
     count = np.diff(np.r_[head, len(at)])
     start, at, owner = window[head], at[head], owner[head]
     end = start + count - 1 + length
-    shape = mix64((at - start).astype(np.uint64) << np.uint64(32) | count.astype(np.uint64))
-    digest = [mix64((s[end] - s[start]) * inv[start] + shape).view(np.int64) for s, inv in zip(sums, inverse, strict=True)]
-    return owner, start - offsets[:-1][owner], at - start, count, gram[at].view(np.int64), digest[0], digest[1]
+    raw = memoryview(np.ascontiguousarray(data))
+    digest = np.frombuffer(b"".join([blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(start.tolist(), end.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+    shape = mix64((at - start).astype(np.uint64) << np.uint64(32) | count.astype(np.uint64)).view(np.int64)
+    return owner, start - offsets[:-1][owner], at - start, count, gram[at].view(np.int64), digest[:, 0] ^ shape, digest[:, 1] ^ shape
 
 
 def _pieces(data: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -360,10 +359,10 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     whole = met.where("equal").where(place != F.col("least")) if later else met.where("equal")
     marks = whole.select("doc", "row", F.col("start").alias("first"), (F.col("start") + F.col("n") - 1).alias("last"))
     mixed = met.where("not equal").select("doc", "row", "start", "at", "n", "key", "d1", "d2")
-    same = F.xxhash64("key", "d1", "d2")
+    same = ["key", "d1", "d2"]
     # of equal items of a mixed gram, the first stands for all
-    ones = mixed.groupBy("key", "d1", "d2").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "start", "row", "at", "n")).alias("one"))
-    ones = scratch.put("ones", ones.select(same.alias("item"), "key", "d1", "d2", "copies", "one.*"))
+    ones = mixed.groupBy(*same).agg(F.count("*").alias("copies"), F.min(F.struct("doc", "start", "row", "at", "n")).alias("one"))
+    ones = scratch.put("ones", ones.select(F.monotonically_increasing_id().alias("item"), *same, "copies", "one.*"))
     groups = scratch.put("groups", ones.groupBy("key").agg(F.count("*").alias("total")))
     wanted = ones.join(groups, "key").groupBy("doc", "row").agg(F.collect_list(F.struct("item", "doc", "start", "at", "n", "key", "total")).alias("wanted"))
     wanted = scratch.put("wanted", wanted)
@@ -395,15 +394,14 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
         ranges = ranges.unionByName(f)
     ranges = scratch.put("ranges", ranges)
     # what holds for the first of equal items holds for all, at their own places
-    first = ones.select("item", F.col("start").alias("base"), F.struct("doc", "start", "row").alias("one"), "copies", F.col("n").alias("windows"))
-    member = mixed.withColumn("item", same)
+    first = ones.select("item", *same, F.col("start").alias("base"), F.struct("doc", "start", "row").alias("one"), "copies")
     shift = F.col("start") - F.col("base")
     placed = scratch.put("placed", ranges.join(first, "item"))
-    spread = member.join(placed, "item")
+    spread = mixed.join(placed, same)
     if later:
         spread = spread.where(place == F.col("one"))
     marks = marks.unionByName(spread.select("doc", "row", (F.col("first") + shift).alias("first"), (F.col("last") + shift).alias("last")))
-    copied = member.join(first.where("copies > 1"), "item")
+    copied = mixed.join(first.where("copies > 1"), same)
     if later:
         copied = copied.where(place != F.col("one"))
     marks = marks.unionByName(copied.select("doc", "row", F.col("start").alias("first"), (F.col("start") + F.col("n") - 1).alias("last")))

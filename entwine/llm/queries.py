@@ -88,4 +88,27 @@ ORACLES: dict[str, str] = {
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
         FROM d JOIN g USING (t)""",
+    "op8_near_dedup": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) >= 5 THEN list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i : i + 4], ' ')) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS sh FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n2 FROM s a JOIN s b USING (sh) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * n2 >= 75 * (x.n + y.n - n2)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        c(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, c.r FROM c JOIN e ON c.doc_id = e.a)
+        SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept FROM c LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+    "op9_suffix_dedup": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        x AS (SELECT doc_id, t, hex(t) AS h, n FROM d),
+        p AS (SELECT doc_id, i, md5(t[i + 1 : i + 400]) AS k FROM (SELECT doc_id, t, unnest(range(0, n - 399)) AS i FROM x WHERE n >= 400)),
+        m AS (SELECT doc_id, i FROM p WHERE k IN (SELECT k FROM p GROUP BY k HAVING count(*) > 1)),
+        g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM m)),
+        r AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY ALL),
+        q AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed FROM r GROUP BY doc_id),
+        b AS (SELECT doc_id, a AS stop, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS start FROM r UNION ALL SELECT doc_id, n, coalesce(max(z), 0) FROM x LEFT JOIN r USING (doc_id) GROUP BY doc_id, n),
+        k AS (SELECT doc_id, string_agg(hex(t[start + 1 : stop]), '' ORDER BY start) AS h FROM b JOIN x USING (doc_id) GROUP BY doc_id)
+        SELECT x.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k.h)) AS kept_sha256,
+               coalesce(n_removed, 0) > 0 AS has_repeats, CAST(n - coalesce(n_removed, 0) AS BIGINT) AS n_kept
+        FROM x JOIN k USING (doc_id) LEFT JOIN q USING (doc_id)""",
 }

@@ -444,7 +444,8 @@ def near_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     nodes = scratch.put("nodes", named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")))
     values = nodes.select("node", "sketch").mapInArrow(task(_values), "value long, node long")
     hot = scratch.put("hot", values.groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("value"))
-    of = values.join(hot, "value", "left_semi").groupBy("node").agg(F.array_sort(F.collect_list("value")).alias("hot"))  # at most K a node
+    marked = values.join(hot.select("value", F.lit(True).alias("is_hot")), "value", "left")
+    of = marked.groupBy("node").agg(F.array_sort(F.collect_list(F.when(F.col("is_hot"), F.col("value")))).alias("hot"))  # at most K a node
     listed = nodes.join(of, "node", "left").select("node", "sketch", "hot").mapInArrow(task(_postings), "value long, node long")
     listed = scratch.put("postings", listed)
     lists = listed.groupBy("value").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("size > 1")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entwine import config
-from entwine.operators import blocking, decision, models, sampling, windows
+from entwine.operators import blocking, decision, models, noise, sampling, windows
 from entwine.plans import linkage
 from entwine.sources import tables
 
@@ -122,8 +122,11 @@ def proxy(run: Run, a) -> None:
     r = raw.select(F.col("entity_id").alias("id"), F.col("business_name").alias("name"), F.col("business_address").alias("address"), "country", "source")
     truth = run.truth()
     if a.action == "measure":
-        side = lambda k: r.select(F.col("id").alias(k), F.col("name").alias(f"{k}_name"), "country") if k == "s" else r.select(F.col("id").alias(k), F.col("name").alias(f"{k}_name"), "source")
-        run.write(sampling.noise_rates(truth.join(side("s"), "s").join(side("c"), "c"), "s_name", "c_name", ["country", "source"]), "noise")
+        own = r.select(F.col("id").alias("s"), F.col("name").alias("s_name"), F.col("address").alias("s_address"), "country")
+        other = r.select(F.col("id").alias("c"), F.col("name").alias("c_name"), F.col("address").alias("c_address"), "source")
+        pairs = truth.join(own, "s").join(other, "c")
+        for side in ("name", "address"):
+            run.write(noise.noise_rates(pairs, f"s_{side}", f"c_{side}", ["country", "source"], side), f"noise_{side}")
         run.write(sampling.match_histogram(truth, r), "match_counts")
     elif a.action == "build":
         records, pairs = sampling.proxy_family(r.where("source = 1").drop("source"), run.read("match_counts"), json.loads(a.rates), seed=run.cfg["seed"])

@@ -59,16 +59,11 @@ def name_cosines(pairs: DataFrame, records: DataFrame) -> DataFrame:
 
 def acronym_features(df: DataFrame, s_core: str, c_raw: str) -> DataFrame:
     """Whether the candidate's name is an acronym, equals the entity's initials, or shares a part with them."""
-    @F.pandas_udf("acr_cand int, acr_match int, acr_part int")
-    def run(core: pd.Series, raw: pd.Series) -> pd.DataFrame:
-        lex = load_lexicon()
-        rows = []
-        for n, r in zip(core.fillna(""), raw.fillna(""), strict=True):
-            a, first = text.acronym(r, lex), text.initials(n, lex.stopwords)
-            rows.append((int(bool(a)), int(a in first) if a else 0, int(any(a in x or x in a for x in first)) if a else 0))
-        return pd.DataFrame(rows, columns=["acr_cand", "acr_match", "acr_part"])
-
-    return df.withColumn("__a", run(s_core, c_raw)).select("*", "__a.*").drop("__a")
+    a, first = text.acronym_col(F.coalesce(c_raw, F.lit(""))), text.initials_col(F.coalesce(s_core, F.lit("")))
+    flag = lambda c: ((F.col("__a") != "") & c).cast("int")
+    part = F.exists("__i", lambda x: x.contains(F.col("__a")) | F.col("__a").contains(x))
+    t = df.withColumns({"__a": a, "__i": first})
+    return t.withColumns({"acr_cand": flag(F.lit(True)), "acr_match": flag(F.array_contains("__i", F.col("__a"))), "acr_part": flag(part)}).drop("__a", "__i")
 
 
 def cleaned_competition(pairs: DataFrame, s_names: DataFrame, c_names: DataFrame) -> DataFrame:

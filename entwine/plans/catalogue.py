@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from entwine.functions import similarity, text
-from entwine.functions.lexicon import load_lexicon
-from entwine.operators import blocking, decision, models, sampling, windows
+from entwine.operators import blocking, decision, models, noise, sampling, windows
 from entwine.plans import linkage
 from entwine.sources import tables
 
@@ -160,11 +159,7 @@ def splice_matches(spark, d):
     WITH w AS (SELECT p_partkey, list_filter(regexp_split_to_array(regexp_replace(replace(lower(p_name), '&', ' and '), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '' AND x NOT IN ('null', 'the', 'mr', 'mrs', 'ms', 'shri', 'sri', 'smt')) AS t FROM part)
     SELECT p_partkey, array_to_string([t[i] for i in range(1, len(t) + 1) if i = 1 OR t[i] <> t[i - 1]], ' ') AS name_norm FROM w""")
 def name_tokens_clean(spark, d):
-    fillers = sorted(load_lexicon().fillers | {"null", ""})
-    t = F.split(F.regexp_replace(F.replace(F.lower("p_name"), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " "), " ")
-    t = F.filter(t, lambda w: ~w.isin(fillers))
-    once = F.filter(t, lambda w, i: (i == 0) | (w != F.get(t, i - 1)))
-    return table(spark, d, "part").select("p_partkey", F.array_join(once, " ").alias("name_norm"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(text.name_words_col(F.lower("p_name")), " ").alias("name_norm"))
 
 
 @query("SELECT p_partkey, array_to_string(list_sort(list_filter(string_split(p_name, ' '), lambda x: x <> '')), ' ') AS name_sorted FROM part")
@@ -193,7 +188,7 @@ def skeleton_key(spark, d):
            length(h) >= 6 AND (contains(h, '.') OR starts_with(h, '#')) AND regexp_full_match(h, '#?(www\.)?[a-z0-9\-]+(\.[a-z]{2,4}){0,2}') AS is_domain FROM h""")
 def domain_body(spark, d):
     h = F.trim(F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)))
-    return table(spark, d, "pages").select("page_id", text.domain_body_col(h).alias("body"), text.is_domain_col(h).alias("is_domain"))
+    return table(spark, d, "pages").select("page_id", text.domain_body_col(h).alias("body"), text.domain_col(h).alias("is_domain"))
 
 
 @query("SELECT c_custkey, 'name: ' || c_name || ' | address: ' || c_mktsegment || ' | country: ' || n_name AS record FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -215,10 +210,12 @@ def canonical_number(spark, d):
 
 
 @query("""
-    SELECT p_partkey, list_aggregate([substr(x, 1, 1) for x in string_split(p_name, ' ') if x <> ''], 'string_agg', '') AS initials FROM part""")
+    WITH w AS (SELECT p_partkey, list_filter(string_split(lower(p_name), ' '), lambda x: x <> '') AS t FROM part),
+         i AS (SELECT p_partkey, array_to_string(list_transform(t, lambda x: x[1]), '') AS a,
+                      array_to_string(list_transform(list_filter(t, lambda x: x NOT IN ('and', 'of', 'et', 'de', 'du', 'des', 'la', 'le', 'les', 'd', 'l')), lambda x: x[1]), '') AS b FROM w)
+    SELECT p_partkey, array_to_string(list_sort(list_filter(list_distinct([a, b]), lambda x: len(x) >= 2)), '|') AS initials FROM i""")
 def initials(spark, d):
-    words = F.filter(F.split("p_name", " "), lambda w: w != "")
-    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "").alias("initials"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(text.initials_col(F.lower("p_name")), "|").alias("initials"))
 
 
 @query()
@@ -228,7 +225,7 @@ def fold_ascii(spark, d):
 
 @query()
 def units_extract(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.text_udf(lambda t: text.extract_units(text.fold(t)))("text").alias("unit"))
+    return table(spark, d, "documents").select("doc_id", text.units_col(text.fold_col("text")).alias("unit"))
 
 
 @query()
@@ -890,14 +887,14 @@ def noise_augment(spark, d):
 def proxy_build(spark, d):
     e = clean_entities(spark, d)
     cells = e.select("country").distinct().select("country", F.explode(F.array(*[F.struct(F.lit(a).alias("n2"), F.lit(b).alias("n3"), F.lit(n).alias("n")) for a, b, n in ((0, 0, 6), (1, 0, 24), (1, 1, 40), (2, 1, 30))])).alias("x")).select("country", "x.*")
-    return sampling.proxy_family(e, cells, {"name": {"typo": 0.3, "case": 0.5}, "address": {"null": 0.1, "street": 0.4}})[0]
+    return sampling.proxy_family(e, cells, {"name": {"typo": 0.3, "case": 0.5}, "address": {"null_token": 0.1, "abbrev": 0.4}})[0]
 
 
 @query()
 def proxy_measure(spark, d):
     e = clean_entities(spark, d)
     noisy = sampling.augment_records(e).select("id", F.col("name").alias("b"))
-    return sampling.noise_rates(e.join(noisy, "id"), "name", "b", ["country"])
+    return noise.noise_rates(e.join(noisy, "id"), "name", "b", ["country"])
 
 
 @query()

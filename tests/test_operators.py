@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from entwine import config
 from entwine.functions import similarity as sim
-from entwine.operators import blocking, decision, models, sampling, windows
+from entwine.operators import blocking, decision, models, noise, sampling, windows
 from entwine.plans import linkage
 from entwine.sources import tables
 
@@ -308,19 +308,72 @@ def test_triplets(spark):
     assert any(r.positive_text != f"name: name {r.positive} | address: 1 Main Road, Allen, TX | country: US" for r in text)
 
 
+def changed(spark, op, values, draws=60):
+    """All results of an operator on each value, over many ids."""
+    df = spark.createDataFrame([(i, v) for v in values for i in range(draws)], "id long, v string")
+    out = {v: set() for v in values}
+    for r in df.select("v", op(F.col("v"), noise.Draws(F.col("id"), 3)).alias("x")).collect():
+        out[r.v].add(r.x)
+    return out
+
+
+def test_noise_operators(spark):
+    """Every result of every operator is one its rule allows, and empty or hopeless texts come back."""
+    one = lambda op, v: changed(spark, op, [v])[v]
+    assert one(noise.change_case, "Oak Mill") == {"OAK MILL"} and one(noise.change_case, "OAK MILL") == {"Oak Mill"}
+    assert one(noise.drop_word, "a b c") == {"b c", "a c", "a b"} and one(noise.drop_word, "a") == {"a"}
+    assert one(noise.truncate, "a b c") == {"a", "a b"} and one(noise.last_first, "a b c") == {"c a b"}
+    assert one(noise.next_word, "a b c") == {"b a c", "a c b"} and one(noise.bracket, "a b") == {"a (b)"}
+    assert one(noise.accent, "bcd") == {"bcd"} and one(noise.accent, "bad eL") == {"bád eL", "bad éL"}
+    assert one(noise.no_accents, "Élan çà") == {"Elan ca"}
+    assert one(noise.domain, "Oak & Mill") == {"oakmill.com", "#oakmill"}
+    assert one(noise.swap_legal, "Oak Private Limited") == {"Oak Pvt Ltd", "Oak Private Ltd", "Oak Pvt Limited"} and one(noise.swap_legal, "Oak") == {"Oak"}
+    assert one(noise.ampersand, "Oak & Mill") == {"Oak and Mill", "Oak et Mill", "Oak Mill"} and one(noise.ampersand, "Oak et Mill") == {"Oak & Mill"}
+    assert one(noise.abbreviate, "12 Boulevard, X") <= {"12 blvd, X", "12 bd, X", "12 bld, X", "12 bvd, X"} and one(noise.abbreviate, "Lanterns") == {"Lan.", "Lant."}
+    assert one(noise.legal, "Oak Inc") <= {"Oak", *(f"Oak {f}" for f in noise.SHORT_FORMS)} and one(noise.legal, "Oak") == {f"Oak {f}" for f in noise.SHORT_FORMS}
+    assert one(noise.null_part, "a, b") == {"NULL, a, b", "a, NULL, b", "a, b, NULL"} and one(noise.drop_part, "a, b") == {"a", "b"}
+    assert one(noise.next_part, "a, b, c") == {"b, a, c", "a, c, b"}
+    shuffled = one(noise.shuffle_parts, "a, b, c")
+    assert "a, b, c" not in shuffled and len(shuffled) >= 4 and all(sorted(x.split(", ")) == ["a", "b", "c"] for x in shuffled)
+    assert one(noise.toggle_unit, "9 Elm, Unit 4, X") == {"9 Elm, X"} and all(x.startswith("9 Elm, ") and x.endswith(", X") for x in one(noise.toggle_unit, "9 Elm, X"))
+    assert one(noise.swap_state(F.lit("US")), "9 Elm, nv") == {"9 Elm, Nevada"} and one(noise.swap_state(F.lit("US")), "9 Elm, Nevada") == {"9 Elm, NV"}
+    assert one(noise.reformat_house, "12 Elm 7") == {"012 Elm 7", "12- Elm 7", "1-2 Elm 7"} and one(noise.reformat_house, "Elm") == {"Elm"}
+    assert one(noise.other_house, "75002 Elm 12") == {"75002 Elm", *(f"75002 Elm {x}" for x in ("10", "11", "13", "14", "12 bis", "12 ter", "12 B", "12-14"))}
+    assert one(noise.no_postal, "9 Elm, 75002 Reno") == {"9 Elm, Reno"}
+    slips = one(noise.typo, "ab")
+    assert slips <= {"b", "a", "aab", "abb", "ab", "sb", "an", "ba"} and len(slips) >= 6
+    for op in {*noise.NAME_NOISE.values(), *noise.RATED_NAME.values(), *noise.RATED_ADDRESS.values(), *noise.address_noise(F.lit("India")).values()}:
+        assert all(isinstance(x, str) for v in changed(spark, op, ["", "x", " , ", "1", "$1 \\E"], 4).values() for x in v)
+
+
+def test_noise_kinds(spark):
+    names = {
+        ("Oak Mill", "OAK MILL"): {"case"}, ("Oak Mill", "Mill Oak"): {"reorder"}, ("Oak Mill Inc", "Oak Mill"): {"legal"}, ("Oak Mill", "Oak"): {"drop"}, ("Oak", "Oak Mill"): {"add"},
+        ("Oak & Mill", "Oak Mill"): {"amp"}, ("Lantern Oak", "Lamtern Oak"): {"typo"}, ("Management Oak", "Mgmt Oak"): {"abbrev"}, ("Élan Oak", "elan oak"): {"accent"},
+        ("Oak Mill", "oakmill.com"): {"domain"}, ("Oak", "Oak"): {"same"}, ("Oak", "NULL"): {"null"}, ("Oak", ""): {"null"}, ("Oak", "ओक"): {"script"},
+    }
+    addresses = {
+        ("9 Elm, Reno", "9 Elm"): {"comp_drop"}, ("9 Elm", "9 Elm, NULL"): {"null_token", "comp_add"}, ("9 Elm, Reno", "Reno, 9 Elm"): {"comp_reorder"}, ("9 Elm", "11 Elm"): {"house"},
+        ("9 Elm, 75002", "9 Elm"): {"postal_drop", "comp_drop"}, ("9 Elm", ""): {"null"}, ("", "null"): {"same"},
+    }
+    for side, table, order in (("name", names, noise.NAME_KINDS), ("address", addresses, noise.ADDRESS_KINDS)):
+        df = spark.createDataFrame([(f"{a}|{b}", a, b) for a, b in table], "k string, a string, b string")
+        found = {r.k: {k for k in order if r[k]} for r in noise.noise_rates(df, "a", "b", ["k"], side).collect()}
+        for (a, b), want in table.items():
+            assert want <= found[f"{a}|{b}"], (a, b, found[f"{a}|{b}"])
+            assert not ({"same", "null"} & want) or found[f"{a}|{b}"] == want
+
+
 def test_noise(spark):
-    r = random.Random(5)
-    for i in range(300):
-        name, addr = sampling.augment("Galaxy Solutions Pvt Ltd", "47/1 Airport Road, Kolhapur, Maharashtra", "India", r)
-        assert name.strip()
-    assert sampling.swap_state("1 X, TX", "US", r) == "1 X, Texas" and sampling.swap_state("1 X, Texas", "US", r) == "1 X, TX"
-    assert sampling.swap_legal("A Private Limited", r) != "A Private Limited"
-    assert sampling.reformat_house("12 Main", "US", r) in {"012 Main", "12- Main", "1-2 Main"}
-    for op in sampling.NAME_NOISE.values():
-        assert isinstance(op("x", r), str)
-    for op in sampling.ADDRESS_NOISE.values():
-        assert isinstance(op("", "US", r), str)
-    assert sampling.noise_indicators("Acme Co", "ACME CO")["case"] and sampling.noise_indicators("a b", "b a")["reorder"]
+    made = spark.createDataFrame([(i, "Blue Lantern Works Pvt Ltd", "14/2 Canal Road, Nashik, Maharashtra", "India") for i in range(400)], "id long, name string, address string, country string")
+    loud = sampling.augment_records(made).collect()
+    assert all(r.name.strip() for r in loud) and 2 <= sum(r.address == "" for r in loud) <= 30
+    assert sum(r.name != "Blue Lantern Works Pvt Ltd" for r in loud) > 380 and len({r.name for r in loud}) > 60
+    rated = sampling.augment_records(made, rates={"name": {"case": 0.5, "drop": 1.0}, "address": {"null_token": 0.2}}).collect()
+    assert abs(sum(r.name == r.name.upper() for r in rated) / 400 - 0.5) < 0.1 and all(len(r.name.split()) == 4 for r in rated)
+    assert abs(sum("NULL" in r.address for r in rated) / 400 - 0.2) < 0.08
+    order = sampling.augment_records(made, rates={"name": {"drop": 1.0, "legal": 1.0}}).collect()
+    assert len({r.name for r in order}) > 10
     assert sampling.surface_rates({"upper": 0.2}, {"upper": 0.6}) == {"upper": pytest.approx(0.5)}
     df = spark.createDataFrame([(str(i), "Acme Works Inc", "1 Main Road", "US") for i in range(50)], "id string, name string, address string, country string")
     assert got(sampling.augment_records(df)) == got(sampling.augment_records(df.repartition(4)))
@@ -369,7 +422,7 @@ def test_models(spark):
 
 
 RAW = [
-    ("S1-1", 1, "Fafloon Pet Care Inc", "1130 Regency Road, Atlanta, GA", "US"), ("S2-1", 2, "FAFLOON CARE INC", "01130 REGENCY ROAD, ATL, GA", "US"), ("S3-1", 3, "fafloonpetcare.com", "1130- Regency Road, Atlanat, Georgia", "US"),
+    ("S1-1", 1, "Marlow Fern Cafe Inc", "1130 Regency Road, Atlanta, GA", "US"), ("S2-1", 2, "MARLOW FERN INC", "01130 REGENCY ROAD, ATL, GA", "US"), ("S3-1", 3, "marlowferncafe.com", "1130- Regency Road, Atlanat, Georgia", "US"),
     ("S1-2", 1, "Galaxy Solutions Pvt Ltd", "47/1 Airport Road, Kolhapur, Maharashtra", "India"), ("S2-2", 2, "Galaxy S0lutions Pvt Ltd.", "NULL, MH, 4-7/1 Airport Road", "India"), ("S3-9", 3, "Galaxy Solutions Pvt Ltd", "47/1 Airport Road", "France"),
 ]
 
@@ -383,9 +436,9 @@ def records(spark):
 def test_records(records):
     assert tuple(records.columns) == linkage.RECORD_COLUMNS and len(records.columns) == 22
     t = {r.entity_id: r for r in records.collect()}
-    assert t["S3-1"].name_domain == "fafloon pet care" and t["S1-1"].name_domain == ""
+    assert t["S3-1"].name_domain == "marlow fern cafe" and t["S1-1"].name_domain == ""
     assert t["S1-2"].house_no == t["S2-2"].house_no == "47/1" and t["S2-2"].state == "maharashtra"
-    assert t["S3-1"].block_text.startswith("fafloon pet care 1130")
+    assert t["S3-1"].block_text.startswith("marlow fern cafe 1130")
 
 
 def test_candidates_and_features(records):
@@ -402,8 +455,8 @@ def test_candidates_and_features(records):
 
 def test_extra_channels(spark):
     raw = [
-        ("S1-1", 1, "Fafloon Pet Care Inc", "1130 Regency Road, Atlanta, GA", "US"), ("S2-1", 2, "Fafloon Pet Care", "1130 Regency Road, Atlanta", "US"), ("S3-1", 3, "Fafloon Pet", "", "US"), ("S3-2", 3, "Pet Fafloon", "77 Harbour Lane, Boise", "US"),
-        ("S1-2", 1, "Quartz Mining", "9 Hill Street, Dallas, TX", "US"), ("S2-2", 2, "Zebra Umbrella", "", "US"), ("S2-9", 2, "Fafloon Pet Care", "1130 Regency Road", "France"),
+        ("S1-1", 1, "Marlow Fern Cafe Inc", "1130 Regency Road, Atlanta, GA", "US"), ("S2-1", 2, "Marlow Fern Cafe", "1130 Regency Road, Atlanta", "US"), ("S3-1", 3, "Marlow Fern", "", "US"), ("S3-2", 3, "Fern Marlow", "77 Harbour Lane, Boise", "US"),
+        ("S1-2", 1, "Quartz Mining", "9 Hill Street, Dallas, TX", "US"), ("S2-2", 2, "Zebra Umbrella", "", "US"), ("S2-9", 2, "Marlow Fern Cafe", "1130 Regency Road", "France"),
     ]
     r = linkage.build_records(spark.createDataFrame(raw, "entity_id string, source int, business_name string, business_address string, country string")).cache()
     sparse = pairs(spark, [("S1-1", "S3-1", 0.5, 1, 0, 0.0, 0)], "s string, c string, tfidf_sim double, tfidf_rank int, key_hits int, name_sim double, name_key int")

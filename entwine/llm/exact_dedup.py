@@ -9,7 +9,7 @@ texts have ended, so equality is decided by the bytes and never by a digest.
 2. The surviving texts are dealt by their leading bytes.  Prefixes with over
    ``HOT_BYTES`` of texts are extended (8, 32, 128, ... bytes) until they hold
    less or are whole texts.  They are a table that is joined, never a list of
-   the driver's, and only the texts below them are counted again.
+   the driver's, and only the texts below them are counted and joined again.
 3. A hot prefix that is a whole text needs no further byte: its rows are equal,
    and their partial sums meet in an aggregation.
 4. Every task splits its bucket by successive bytes to the end.
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,7 @@ _LOCAL = "uid long, doc_id long, rep long, copies long, text binary, sha string"
 _LOCAL_ARROW = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("rep", pa.int64()), ("copies", pa.int64()), ("text", pa.binary()), ("sha", pa.string())])
 _GROUP = "uid long, keep_uid long, keep_id long, group_size long, sha string"
 _GROUP_ARROW = pa.schema([("uid", pa.int64()), ("keep_uid", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("sha", pa.string())])
+_SLIM = ("uid", "doc_id", "copies", "text", "sha")
 _LOWEST = np.iinfo(np.int64).min
 
 
@@ -147,38 +149,39 @@ def _leading(width: int) -> Column:
 def hot_prefixes(reps: DataFrame, scratch: Scratch, limit: int) -> list[tuple[int, DataFrame]]:
     """Levels (width, table of the places ``h`` of prefixes with over ``limit`` bytes of texts).
 
-    Only texts below a hot prefix that goes on are counted at the next level, by
-    four times the bytes; the last level's hot prefixes are whole texts.
+    The rows below a level's hot prefixes are written, as ``below-`` and its number.
+    Only those whose text goes on are counted at the next level, by four times the
+    bytes; the last level's hot prefixes are whole texts.
     """
     levels: list[tuple[int, DataFrame]] = []
     at, width = reps, FIRST_BYTES
     while True:
-        sizes = at.groupBy(_leading(width).alias("h"), (F.length("text") > width).alias("goes_on")).agg(F.sum(F.length("text") + 64).alias("b"))
-        hot = scratch.put(f"hot-{len(levels)}", sizes.where(F.col("b") > limit).select("h", "goes_on"))
+        led = at.withColumn("h", _leading(width))
+        sizes = led.groupBy("h").agg(F.sum(F.length("text") + 64).alias("b"))
+        hot = scratch.put(f"hot-{len(levels)}", sizes.where(F.col("b") > limit).select("h"))
         if hot.isEmpty():
             return levels
-        levels.append((width, hot.select("h").distinct()))
-        below = hot.where("goes_on").select("h").distinct()
-        if below.isEmpty():
-            return levels
-        at = reps.withColumn("h", _leading(width)).join(below, "h", "left_semi").where(F.length("text") > width)
+        below = scratch.put(f"below-{len(levels)}", led.join(hot, "h", "left_semi").drop("h"))
+        levels.append((width, hot))
+        at = below.where(F.length("text") > width)
         width *= 4
 
 
-def _dealt(reps: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
-    """``reps`` with ``radix``, the place of the shortest prefix that is not hot, and ``whole``: the text itself is a hot prefix.
+def _dealt(reps: DataFrame, levels: list[tuple[int, DataFrame]], scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """(rows with ``radix``, the place of their shortest prefix that is not hot; rows whose whole text is a hot prefix, None without levels).
 
-    Both depend on the text alone, so equal texts always meet.
+    A row meets the hot prefixes of a level only if it is below one of the level
+    before, so many levels under a few prefixes cost the other rows nothing.  Both
+    results depend on the text alone, so equal texts always meet.
     """
-    size, radix, whole, below = F.length("text"), F.lit(None).cast("long"), F.lit(False), F.lit(True)
+    at, dealt, whole = reps, [], []
     for i, (width, hot) in enumerate(levels):
-        reps = reps.withColumn(f"h{i}", _leading(width)).join(hot.select(F.col("h").alias(f"h{i}"), F.lit(True).alias(f"f{i}")), f"h{i}", "left")
-        is_hot = F.col(f"f{i}").isNotNull()
-        radix = F.when(below & ~is_hot, F.xxhash64(F.lit(i), f"h{i}")).otherwise(radix)
-        whole = whole | (below & is_hot & (size <= width))
-        below = below & is_hot & (size > width)
-    last = _leading(FIRST_BYTES * 4 ** len(levels))
-    return reps.withColumn("radix", F.when(below, F.xxhash64(F.lit(len(levels)), last)).otherwise(radix)).withColumn("whole", whole)
+        dealt.append(at.withColumn("h", _leading(width)).join(hot, "h", "left_anti").withColumn("radix", F.xxhash64(F.lit(i), "h")).drop("h"))
+        below = scratch.get(f"below-{i}", reps)
+        whole.append(below.where(F.length("text") <= width))
+        at = below.where(F.length("text") > width)
+    dealt.append(at.withColumn("radix", F.xxhash64(F.lit(len(levels)), _leading(FIRST_BYTES * 4 ** len(levels)))))
+    return reduce(DataFrame.unionByName, dealt), reduce(DataFrame.unionByName, whole) if whole else None
 
 
 def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = 32 << 20, limit: int = HOT_BYTES) -> DataFrame:
@@ -192,16 +195,13 @@ def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     scratch = Scratch(spark, "exact-dedup")
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     local = scratch.put("local", rows.mapInArrow(task(_collapse_batches), _LOCAL))
-    reps = local.where(F.col("text").isNotNull()).select("uid", "doc_id", "copies", "text", "sha")
+    reps = local.where(F.col("text").isNotNull()).select(*_SLIM)
     total = reps.agg(F.sum(F.length("text") + 64)).first()[0] or 0
     parts = partitions_for(spark, total, task_bytes)
-    levels = hot_prefixes(reps, scratch, limit)
-    slim = ("uid", "doc_id", "copies", "text", "sha")
-    dealt = _dealt(reps, levels)
-    groups = dealt.where("not whole").repartition(parts, "radix").select(*slim).mapInArrow(task(_split_bucket), _GROUP)
-    if levels:
+    dealt, same = _dealt(reps, hot_prefixes(reps, scratch, limit), scratch)
+    groups = dealt.repartition(parts, "radix").select(*_SLIM).mapInArrow(task(_split_bucket), _GROUP)
+    if same is not None:
         # a hot prefix that is a whole text: its rows are equal already, and their partial sums meet
-        same = dealt.where("whole").select(*slim)
         best = F.max(F.struct(F.coalesce("doc_id", F.lit(int(_LOWEST))).alias("doc"), "uid"))
         sums = same.groupBy("text").agg(F.sum("copies").alias("group_size"), best.alias("best"))
         sums = sums.select("text", F.col("best.uid").alias("keep_uid"), F.nullif(F.col("best.doc"), F.lit(int(_LOWEST))).alias("keep_id"), "group_size")

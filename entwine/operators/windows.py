@@ -168,12 +168,20 @@ def embedding_support(df: DataFrame, vectors: DataFrame, q: str = "p", s: str =
 
 
 def orphan_features(df: DataFrame, edges: DataFrame, p: str = "p", s: str = "s", c: str = "c") -> DataFrame:
-    """Of a candidate's neighbours: how many, also wanted by the entity, wanted by none, owned by another."""
+    """Of a candidate's neighbours: how many, also wanted by the entity, wanted by none, owned by another.
+
+    ``df`` holds a pair once, ``edges`` an edge once.  All but the second are counted
+    by candidate: a neighbour that the entity wants is owned by somebody, so those
+    owned by another are the owned ones less the entity's.  Only wanted pairs walk
+    along the edges.
+    """
     best = df.groupBy(F.col(c).alias("b")).agg(F.max(p).alias("best"))
-    wanted = df.where(F.col(p) >= 0.5).select(s, F.col(c).alias("b"), F.lit(1).alias("mine"))
-    near = df.select(s, c).join(edges.select(F.col("a").alias(c), "b"), c).join(best, "b", "left").join(wanted, [s, "b"], "left")
-    mine, top = F.coalesce("mine", F.lit(0)), F.coalesce("best", F.lit(0.0))
-    return near.groupBy(s, c).agg(F.count(F.lit(1)).alias("n_nb"), F.sum(mine).alias("n_same"), F.sum((top < 0.1).cast("int")).alias("n_orphan"), F.sum(((top >= 0.5) & (mine == 0)).cast("int")).alias("n_owned"))
+    top = F.coalesce("best", F.lit(0.0))
+    around = edges.select(F.col("a").alias(c), "b").join(best, "b", "left").groupBy(c).agg(F.count(F.lit(1)).alias("n_nb"), F.sum((top < 0.1).cast("int")).alias("n_orphan"), F.sum((top >= 0.5).cast("int")).alias("__owned"))
+    wanted = df.where(F.col(p) >= 0.5).select(s, F.col(c).alias("b"))
+    same = wanted.join(edges.select(F.col("a").alias(c), "b"), "b").groupBy(s, c).agg(F.count(F.lit(1)).alias("__same"))
+    n_same = F.coalesce("__same", F.lit(0))
+    return df.select(s, c).join(around, c).join(same, [s, c], "left").select(s, c, "n_nb", n_same.alias("n_same"), "n_orphan", (F.col("__owned") - n_same).alias("n_owned"))
 
 
 def hidden_competition(df: DataFrame, hidden: DataFrame, score: str, s: str = "s", c: str = "c", prefix: str = "") -> DataFrame:

@@ -14,7 +14,7 @@ in the order of a hash of the id, none over ``sample_chars`` characters, and at
 most ``sample_words`` words in all.  Scores use the text alone.
 
 A null or empty text has one empty window and gets the score of no evidence.
-Rows without a label, or with a null one, do not train.  Without rows of both
+Rows without a label, or with a null one, do not train; repeated ones train once.  Without rows of both
 labels the network stays untrained and scores everything 0.  Repeated rows get
 repeated scores; an empty table gives an empty result.
 """
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -250,12 +250,13 @@ def held_out(id_col: Column) -> Column:
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int, sample_chars: int, sample_words: int) -> tuple[list[str], list[int]]:
-    """At most ``sample_rows`` rows of either label, never a held-out one."""
-    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("id")))
+    """At most ``sample_rows`` rows of either label, never a held-out one; repeated rows count once."""
+    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("id"))).distinct()
     order = (F.xxhash64("id"), "id", "y")
     chosen = rows.where("y = 1").orderBy(*order).limit(sample_rows).unionByName(rows.where("y = 0").orderBy(*order).limit(sample_rows))
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where(F.length("t") <= sample_chars)
-    got = texts.join(F.broadcast(chosen), "id").select("id", "t", "y").collect()  # 2 * sample_rows rows at most, but for repeated ids
+    rank = F.row_number().over(Window.partitionBy("y").orderBy(*order[:2], "t"))
+    got = texts.join(F.broadcast(chosen), "id").select("id", "t", "y").distinct().withColumn("r", rank).where(F.col("r") <= sample_rows).drop("r").collect()  # 2 * sample_rows rows at most, however often an id is repeated
     got.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["t"]))
     out, words = [], 0
     for r in got:

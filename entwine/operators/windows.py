@@ -136,24 +136,22 @@ def address_counts(pairs: DataFrame, s_records: DataFrame, c_records: DataFrame)
     return pairs.join(left, "s").join(right, "c")
 
 
-def second_stage_features(df: DataFrame, edges: DataFrame, p: str = "p", s: str = "s", c: str = "c", support: float = 0.3) -> DataFrame:
-    """Score context within the entity, and support by the entity's other candidates that are linked to this one.
+def second_stage_features(df: DataFrame, edges: DataFrame, p: str = "p", s: str = "s", c: str = "c", support: float = 0.3, only: list[str] | None = None, **limits: int) -> DataFrame:
+    """Score context within the entity (``only`` some of it, if given), and support by the entity's other candidates that are linked to this one.
 
-    ``edges`` (a, b) is symmetric.  Pairs of at least ``support`` are walked to their neighbours.
+    ``edges`` is symmetric: (a, b), or (b, near) with lists of a; repeated ones count once.
+    Pairs of at least ``support`` are walked to their neighbours.
     """
+    from entwine.operators.support import with_support
+
     by = Window.partitionBy(s)
     clipped = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
-    walk = df.where(F.col(p) >= support).select(F.col(s).alias("__s"), F.col(c).alias("a"), F.col(p).alias("q"))
-    sup = walk.join(edges, "a").groupBy(F.col("__s").alias(s), F.col("b").alias(c)).agg(
-        F.max("q").alias("sup_max"), F.avg("q").alias("sup_mean"), F.count(F.lit(1)).alias("sup_deg"), F.sum((F.col("q") >= 0.7).cast("int")).alias("sup_n70")
-    )
-    zero = lambda x: F.coalesce(F.col(x), F.lit(0)).alias(x)
-    base = df.select(
-        "*", F.ln(clipped / (1 - clipped)).alias("logit_p"), F.row_number().over(by.orderBy(F.desc(p), c)).alias("rank_p"), F.max(p).over(by).alias("p_max"), (F.max(p).over(by) - F.col(p)).alias("p_gap"),
-        F.sum((F.col(p) >= 0.5).cast("int")).over(by).alias("n_ge50"), F.sum((F.col(p) >= 0.7).cast("int")).over(by).alias("n_ge70"), F.sum(p).over(by).alias("sum_p"), F.count(F.lit(1)).over(by).alias("n_cands"),
-    )
-    out = base.join(sup, [s, c], "left")
-    return out.select(*base.columns, zero("sup_max"), zero("sup_mean"), zero("sup_deg"), zero("sup_n70"), (F.coalesce("sup_max", F.lit(0)) * F.col(p)).alias("sup_p"))
+    context = {
+        "logit_p": F.ln(clipped / (1 - clipped)), "rank_p": F.row_number().over(by.orderBy(F.desc(p), F.asc_nulls_last(c))), "p_max": F.max(p).over(by), "p_gap": F.max(p).over(by) - F.col(p),
+        "n_ge50": F.sum((F.col(p) >= 0.5).cast("int")).over(by), "n_ge70": F.sum((F.col(p) >= 0.7).cast("int")).over(by), "sum_p": F.sum(p).over(by), "n_cands": F.count(F.lit(1)).over(by),
+    }
+    base = df.select("*", *[x.alias(name) for name, x in context.items() if only is None or name in only])
+    return with_support(base, edges, p, s, c, support, **limits).withColumn("sup_p", F.col("sup_max") * F.col(p))
 
 
 def embedding_support(df: DataFrame, vectors: DataFrame, q: str = "p", s: str = "s", c: str = "c", low: float = 0.01, high: float = 0.99, confident: float = 0.5) -> DataFrame:

@@ -12,6 +12,7 @@ take the plain join.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,11 +23,26 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from entwine.scratch import Scratch
 
-CHUNK_ROWS, BLOCK_EDGES, WALK_STEPS, FILTER_BITS = 1 << 20, 1 << 21, 1 << 19, 22
+CHUNK_ROWS, BLOCK_EDGES, WALK_STEPS, FILTER_BITS = 1 << 20, 3 << 20, 1 << 19, 22
 
 _SUPPORT = [StructField("sup_max", DoubleType()), StructField("sup_mean", DoubleType()), StructField("sup_deg", LongType()), StructField("sup_n70", LongType())]
 
 
+def _tidy(run: Callable) -> Callable:
+    """``run`` over the batches of a partition; what it held goes back to the system, as Python workers are used again."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def group_lists(members: DataFrame, group: str, member: str, scratch: Scratch) -> DataFrame:
     """(b, near) of members that share a group: each with the others, once a group. The groups are written."""
     held = members.select(F.col(group).alias("g"), F.col(member).alias("m")).where(F.col("g").isNotNull() & F.col("m").isNotNull())
@@ -264,19 +280,20 @@ def with_support(df: DataFrame, edges: DataFrame, p: str, s: str, c: str, suppor
     bucket = lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int")
     each = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(None).cast(kind).alias("b"), F.array().cast(f"array<{kind.simpleString()}>").alias("near"))
     dealt = lists.where("b IS NOT NULL").select(bucket("b").alias("bucket"), "b", "near").unionByName(each).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    blocks = scratch.put("edges", dealt.mapInArrow(_edge_blocks(block_edges), "bucket int, froms binary, keys binary, tos binary"), "none", last=True)
+    blocks = scratch.put("edges", dealt.mapInArrow(_tidy(_edge_blocks(block_edges)), "bucket int, froms binary, keys binary, tos binary"), "none", last=True)
 
     here = F.count(F.lit(1)).over(Window.partitionBy(s))  # whole entities in a partition, one after the other
     flagged = df.withColumns({"__n": here, "__b": bucket(c), "__w": F.coalesce(F.col(p) >= support, F.lit(False))})
-    chunks = scratch.put("chunks", flagged.mapInArrow(_chunks(s, c, buckets, chunk_rows), "hot boolean, at binary, rows binary, walk binary"), "none", last=True)
+    chunks = scratch.put("chunks", flagged.mapInArrow(_tidy(_chunks(s, c, buckets, chunk_rows)), "hot boolean, at binary, rows binary, walk binary"), "none", last=True)
 
     out = StructType([*df.schema.fields, *_SUPPORT])
     count = {r.hot: r.n for r in chunks.groupBy("hot").agg(F.count(F.lit(1)).alias("n")).collect()}
     left = blocks.select(F.struct(*blocks.columns).alias("e"))
-    right = chunks.where("NOT hot").select(F.struct("at", "rows", "walk").alias("k")).coalesce(max(2, -(-count.get(False, 0) // 8)))
-    met = left.crossJoin(right).mapInArrow(_meet(c, p, df.columns, steps), out)
+    right = chunks.where("NOT hot").select(F.struct("at", "rows", "walk").alias("k")).coalesce(max(2, -(-count.get(False, 0) // 4)))
+    met = scratch.put("met", left.crossJoin(right).mapInArrow(_tidy(_meet(c, p, df.columns, steps)), out), last=True, batch_bytes=1 << 20)  # a chunk and a block at a time
     if count.get(True):
         rows = chunks.where("hot").select("rows").mapInArrow(_open_rows(df.columns), df.schema)
         pairs = blocks.select("froms", "keys", "tos").mapInArrow(_open_edges, StructType([StructField("a", kind), StructField("b", kind)]))
-        met = met.unionByName(plain_support(rows, pairs, p, s, c, support))
+        return met.unionByName(plain_support(rows, pairs, p, s, c, support))
+    scratch.drop("edges", "chunks")
     return met

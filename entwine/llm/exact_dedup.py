@@ -9,7 +9,8 @@ texts have ended, so equality is decided by the bytes and never by a digest.
 2. The surviving texts are dealt by their leading bytes.  Prefixes with over
    ``HOT_BYTES`` of texts are extended (8, 32, 128, ... bytes) until they hold
    less or are whole texts.  They are a table that is joined, never a list of
-   the driver's, and only the texts below them are counted and joined again.
+   the driver's.  They are counted over the texts' places, not the texts, and
+   only those below a level's hot prefixes are counted at the next.
 3. A hot prefix that is a whole text needs no further byte: its rows are equal,
    and their partial sums meet in an aggregation.
 4. Every task splits its bucket by successive bytes to the end.
@@ -31,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entwine.llm.common import Scratch, byte_view, free_names, lower_ascii, partitions_for, task
+from entwine.llm.common import Scratch, byte_view, free_names, lower_ascii, partitions_for, scratch_scope, task
 
 #: Cells of a comparison window; bounds the memory of one radix pass.
 WINDOW_CELLS = 1 << 22
 #: Bytes of the first prefix; bytes of texts that make a prefix hot.
 FIRST_BYTES, HOT_BYTES = 8, 1 << 19
+#: Hot prefixes, of 8 bytes each, that are sent to all tasks; if there are more, the join to them shuffles the texts.
+BROADCAST_ROWS = 1 << 20
 
 
 def radix_groups(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -146,42 +149,61 @@ def _leading(width: int) -> Column:
     return F.xxhash64(F.substring("text", 1, width), F.length("text") > width)
 
 
+def _width(level: int) -> int:
+    return min(FIRST_BYTES * 4**level, (1 << 31) - 1)
+
+
+def _reaches(level: int) -> Column:
+    """Whether the text goes on beyond the level before, and so has a place at this one."""
+    return F.length("text") > _width(level - 1) if level else F.lit(True)
+
+
 def hot_prefixes(reps: DataFrame, scratch: Scratch, limit: int) -> list[tuple[int, DataFrame]]:
     """Levels (width, table of the places ``h`` of prefixes with over ``limit`` bytes of texts).
 
-    The rows below a level's hot prefixes are written, as ``below-`` and its number.
-    Only those whose text goes on are counted at the next level, by four times the
-    bytes; the last level's hot prefixes are whole texts.
+    Texts are read once, for their length ``n`` and their places at all levels
+    (``h0``, ``h1``, ...; null beyond their end).  The places below a level's hot
+    prefixes are written, as ``below-`` and its number.  Only those whose text goes on are
+    counted at the next level, by four times the bytes; the last level's hot
+    prefixes are whole texts.
     """
+    depth = next(i for i in range(32) if _width(i) == (1 << 31) - 1) + 1
+    at = scratch.put("places", reps.select(F.length("text").alias("n"), *(F.when(_reaches(i), _leading(_width(i))).alias(f"h{i}") for i in range(depth))))
     levels: list[tuple[int, DataFrame]] = []
-    at, width = reps, FIRST_BYTES
-    while True:
-        led = at.withColumn("h", _leading(width))
-        sizes = led.groupBy("h").agg(F.sum(F.length("text") + 64).alias("b"))
-        hot = scratch.put(f"hot-{len(levels)}", sizes.where(F.col("b") > limit).select("h"))
-        if hot.isEmpty():
-            return levels
-        below = scratch.put(f"below-{len(levels)}", led.join(hot, "h", "left_semi").drop("h"))
-        levels.append((width, hot))
-        at = below.where(F.length("text") > width)
-        width *= 4
+    for i in range(depth):
+        led = at.withColumnRenamed(f"h{i}", "h")
+        sizes = led.groupBy("h").agg(F.sum(F.col("n") + 64).alias("b"))
+        hot = scratch.put(f"hot-{i}", sizes.where(F.col("b") > limit).select("h"))
+        found = hot.count()
+        if not found:
+            break
+        hot = F.broadcast(hot) if found <= BROADCAST_ROWS else hot
+        below = scratch.put(f"below-{i}", led.join(hot, "h", "left_semi").drop("h"))
+        levels.append((_width(i), hot))
+        at = below.where(F.col("n") > _width(i))
+    return levels
 
 
 def _dealt(reps: DataFrame, levels: list[tuple[int, DataFrame]], scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
     """(rows with ``radix``, the place of their shortest prefix that is not hot; rows whose whole text is a hot prefix, None without levels).
 
-    A row meets the hot prefixes of a level only if it is below one of the level
-    before, so many levels under a few prefixes cost the other rows nothing.  Both
-    results depend on the text alone, so equal texts always meet.
+    What leads to a hot prefix is hot itself, so a row stands below a level if it
+    is below the level before; it meets the prefixes of these two alone, and no
+    text is written for it.  Both results depend on the text alone, so equal texts always meet.
     """
-    at, dealt, whole = reps, [], []
+    if not levels:
+        return reps.withColumn("radix", F.xxhash64(F.lit(0), _leading(_width(0)))), None
+    at, dealt, level = reps, [], F.lit(len(levels))
     for i, (width, hot) in enumerate(levels):
         dealt.append(at.withColumn("h", _leading(width)).join(hot, "h", "left_anti").withColumn("radix", F.xxhash64(F.lit(i), "h")).drop("h"))
-        below = scratch.get(f"below-{i}", reps)
-        whole.append(below.where(F.length("text") <= width))
-        at = below.where(F.length("text") > width)
-    dealt.append(at.withColumn("radix", F.xxhash64(F.lit(len(levels)), _leading(FIRST_BYTES * 4 ** len(levels)))))
-    return reduce(DataFrame.unionByName, dealt), reduce(DataFrame.unionByName, whole) if whole else None
+        at = reps.where(F.length("text") > width).withColumn("h", _leading(width)).join(hot, "h", "left_semi").drop("h")
+    dealt.append(at.withColumn("radix", F.xxhash64(F.lit(len(levels)), _leading(_width(len(levels))))))
+    for i, (width, _) in reversed(list(enumerate(levels))):
+        level = F.when(F.length("text") <= width, F.lit(i)).otherwise(level)
+    ends = reduce(DataFrame.unionByName, [scratch.spark.read.schema("h long").parquet(scratch.path(f"hot-{i}")).withColumn("level", F.lit(i)) for i in range(len(levels))])
+    ends = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
+    whole = reps.withColumns({"h": F.xxhash64("text", F.lit(False)), "level": level}).join(ends, ["h", "level"], "left_semi").drop("h", "level")
+    return reduce(DataFrame.unionByName, dealt), whole
 
 
 def exact_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = 32 << 20, limit: int = HOT_BYTES) -> DataFrame:
@@ -216,12 +238,14 @@ def drop_exact_copies(documents: DataFrame, id_col: str = "doc_id", text_col: st
     """One row of each group, with all its columns, whatever their names.
 
     It is the row of the group's largest id.  Where several rows of a group have
-    that id any one of them stays.
+    that id any one of them stays.  The groups' tables and shuffle files end
+    before the documents are shuffled.
     """
-    columns = documents.columns
+    columns, scratch = documents.columns, Scratch(documents.sparkSession, "exact-stay")
     sha, held, keep, of = free_names(columns, "sha", "held", "keep", "of")
-    groups = exact_groups(documents, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    stay = groups.groupBy(F.col("doc_id").alias(keep), F.col("text_sha256").alias(of)).agg(F.count("*").alias(held))
+    with scratch_scope():
+        groups = exact_groups(documents, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+        stay = scratch.put("stay", groups.groupBy(F.col("doc_id").alias(keep), F.col("text_sha256").alias(of)).agg(F.count("*").alias(held)), last=True)
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     named = documents.withColumn(sha, F.sha2(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), upper, upper.lower()).cast("binary"), 256))
     met = named.join(stay, (F.col(sha) == F.col(of)) & F.col(id_col).cast("long").eqNullSafe(F.col(keep)))
